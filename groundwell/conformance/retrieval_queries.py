@@ -121,55 +121,57 @@ def _(c):
 
 
 @query("r08_empty_query", """
-    SELECT message_id AS query_id, lower(t) AS normalized_text, lower(t) = '' AS is_empty, 0 AS total_candidates
-    FROM (SELECT message_id, trim(regexp_replace(regexp_replace(regexp_replace(content, '[A-Za-z0-9]', ' ', 'g'),
-          '[^\\p{L}\\p{N}\\s\\-_/.:]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM v_message)
-    WHERE lower(t) = ''""".replace("\\\\", "\\"))
+    SELECT q.query_id, lower(t) AS normalized_text, t = '' AS is_empty,
+           CASE WHEN t = '' THEN 0 ELSE coalesce(n, 0) END AS total_candidates
+    FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN '' ELSE normalized_text END AS t FROM q_prepared) q
+    LEFT JOIN (SELECT query_id, count(*) AS n FROM lex_top GROUP BY query_id) r USING (query_id)""")
 def _(c):
-    asked = c.messages.select(
-        F.col("message_id").alias("query_id"), F.lit("src0").alias("kb_id"),
-        F.regexp_replace("content", "[A-Za-z0-9\"“”]", " ").alias("question"),
+    asked = c.questions.withColumn(
+        "question", F.when(F.col("query_id") % 3 == 0, F.lit(" ?! ")).otherwise(F.col("question"))
+    )
+    blank = T.preprocess(asked)
+    found = lexical.lexical_topk(lexical.lexical_matches(lexical.query_clauses(blank), c.live_line_chunks))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    return blank.join(counts, "query_id", "left").select(
+        "query_id", "normalized_text", (F.col("normalized_text") == "").alias("is_empty"),
+        F.coalesce("n", F.lit(0)).alias("total_candidates"),
     )
-    empty = T.preprocess(asked).filter("normalized_text = ''")
-    none = retrieved(c).limit(0)
-    rows = P.retrieval_summary(empty, none).select("query_id", "total_candidates")
-    return empty.select("query_id", "normalized_text", F.lit(True).alias("is_empty")).join(rows, "query_id")
 
 
 @query("r09_rank_debug", """
     SELECT query_id, chunk_id, doc_id, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score,
-           metadata_score, round(recency_score, 6) AS recency_score, structural_score, round(hybrid_score, 5) AS hybrid_score,
+           metadata_score, round(recency_score, 6) AS recency_score, structural_score, hybrid_score,
            rank_before_dedup FROM ranked""")
 def _(c):
     return hybrid.rerank(scored(c)).select(
         "query_id", "chunk_id", "doc_id", r6("semantic_score"), r6("lexical_score"), "metadata_score",
-        r6("recency_score"), "structural_score", F.round("hybrid_score", 5).alias("hybrid_score"),
+        r6("recency_score"), "structural_score", "hybrid_score",
         F.col("rank_before_dedup").cast("long"),
     )
 
 
 @query("r10_grounding_set", """
-    SELECT query_id, chunk_id, rank_after_dedup, round(hybrid_score, 5) AS hybrid_score FROM retrieved
+    SELECT query_id, chunk_id, rank_after_dedup::BIGINT AS rank_after_dedup, hybrid_score FROM retrieved
     WHERE rank_after_dedup <= 6""")
 def _(c):
     return P.grounding(retrieved(c)).select(
-        "query_id", "chunk_id", F.col("rank_after_dedup").cast("long"), F.round("hybrid_score", 5).alias("hybrid_score")
+        "query_id", "chunk_id", F.col("rank_after_dedup").cast("long"), "hybrid_score"
     )
 
 
 @query("r11_retrieve", """
-    SELECT query_id, chunk_id, rank_before_dedup, coalesce(rank_after_dedup, 0) AS rank_after_dedup,
-           round(hybrid_score, 5) AS hybrid_score FROM retrieved""")
+    SELECT query_id, chunk_id, rank_before_dedup, coalesce(rank_after_dedup, 0)::BIGINT AS rank_after_dedup,
+           hybrid_score FROM retrieved""")
 def _(c):
     return retrieved(c).select(
         "query_id", "chunk_id", F.col("rank_before_dedup").cast("long"),
         F.coalesce(F.col("rank_after_dedup").cast("long"), F.lit(0).cast("long")).alias("rank_after_dedup"),
-        F.round("hybrid_score", 5).alias("hybrid_score"),
+        "hybrid_score",
     )
 
 
 @query("r12_answer_gate", """
-    SELECT s.query_id, coalesce(n.indexed_chunks, 0) AS indexed_chunks, selected_chunks, round(top_score, 5) AS top_score,
+    SELECT s.query_id, coalesce(n.indexed_chunks, 0) AS indexed_chunks, selected_chunks, top_score,
            CASE WHEN coalesce(n.indexed_chunks, 0) = 0 THEN 'insufficient_data'
                 WHEN selected_chunks = 0 OR top_score < CASE WHEN NOT semantic_used AND lexical_used THEN 0.02 ELSE 0.1 END
                 THEN 'out_of_scope' ELSE 'proceed' END AS gate
@@ -177,7 +179,7 @@ def _(c):
 def _(c):
     counts = c.live_line_chunks.groupBy("kb_id").agg(F.count("*").alias("indexed_chunks"))
     return P.answer_gate(summary(c), counts).select(
-        "query_id", "indexed_chunks", "selected_chunks", F.round("top_score", 5).alias("top_score"), "gate"
+        "query_id", "indexed_chunks", "selected_chunks", "top_score", "gate"
     )
 
 
@@ -230,9 +232,9 @@ _score_query("h02_metadata_score", "metadata_score", ", array_to_string(metadata
 _score_query("h03_structural_score", "structural_score", ", array_to_string(structural_signals, '|') AS structural_signals")
 
 
-@query("h04_hybrid_score", "SELECT query_id, chunk_id, round(hybrid_score, 5) AS hybrid_score FROM scored")
+@query("h04_hybrid_score", "SELECT query_id, chunk_id, hybrid_score FROM scored")
 def _(c):
-    return scored(c).select("query_id", "chunk_id", F.round("hybrid_score", 5).alias("hybrid_score"))
+    return scored(c).select("query_id", "chunk_id", "hybrid_score")
 
 
 @query("h05_rerank_topn", """
@@ -290,7 +292,7 @@ def _(c):
 
 
 @query("d03_suppress_duplicates", """
-    SELECT query_id, chunk_id, coalesce(rank_after_dedup, 0) AS rank_after_dedup,
+    SELECT query_id, chunk_id, coalesce(rank_after_dedup, 0)::BIGINT AS rank_after_dedup,
            rank_after_dedup IS NULL AS suppressed FROM retrieved""")
 def _(c):
     return retrieved(c).select(

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from groundwell.functions import fixed_values as V
 
@@ -21,8 +22,8 @@ _NFKC_STABLE = (
 
 
 def strings(values: list[str]) -> Column:
-    """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of strings; the optimizer folds the split into one literal."""
+    return F.split(F.lit("|".join(values)), r"\|")
 
 
 def strip(text: Column) -> Column:
@@ -34,7 +35,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACES, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -174,7 +175,7 @@ def slugify(name: Column, max_len: int | None = None) -> Column:
 def safe_filename(name: Column) -> Column:
     """Storage-safe file name, or null when the stem or the extension ends up empty."""
     base = F.regexp_extract(F.coalesce(F.nullif(name, F.lit("")), F.lit("document")), r"([^/]*)/*$", 1)
-    extension = F.lower(F.regexp_extract(base, r"[^.](\.[^.]*)$", 1))
+    extension = F.when(base == "..", "").otherwise(F.lower(F.regexp_extract(base, r".(\.[^.]*)$", 1)))
     cut = F.length(base) - F.length(extension)
     raw_stem = F.when(
         F.lower(base).endswith(extension) & base.endswith(extension), F.substring(base, F.lit(1), cut)

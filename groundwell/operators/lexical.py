@@ -96,12 +96,10 @@ def lexical_matches(clauses: DataFrame, chunks: DataFrame, salts: int = 8) -> Da
     scoped = (
         wanted.select("query_id", "kb_id", "document_ids", "languages", "prefix", "phrase_start")
         .join(dictionary, "prefix")
-        .groupBy("query_id", "kb_id", "term")
+        .groupBy("query_id", "kb_id", "term", "document_ids", "languages")
         .agg(
             F.bool_or(~F.col("phrase_start")).alias("word_hit"),
             F.bool_or("phrase_start").alias("phrase_start"),
-            F.any_value("document_ids").alias("document_ids"),
-            F.any_value("languages").alias("languages"),
         )
     )
     joined = (
@@ -111,44 +109,38 @@ def lexical_matches(clauses: DataFrame, chunks: DataFrame, salts: int = 8) -> Da
         .agg(
             F.count_if("word_hit").alias("word_positions"),
             F.bool_or("phrase_start").alias("may_hold_phrase"),
-            *[F.any_value(c).alias(c) for c in _CARRIED],
+            F.max("indexed_at").alias("indexed_at"),
         )
     )
-    phrased = asked.filter(F.size("phrase_clauses") > 0).select("query_id", "word_clauses", "phrase_clauses")
+    phrased = asked.filter(F.size("phrase_clauses") > 0).select("query_id", _phrase_pattern().alias("pattern"))
     phrase_rows = (
         joined.filter("may_hold_phrase").select("query_id", "chunk_id")
         .join(phrased, "query_id")
         .join(docs.select("chunk_id", "words"), "chunk_id")
-        .select("query_id", "chunk_id", _phrase_only_positions().alias("phrase_positions"))
+        .select(
+            "query_id", "chunk_id",
+            F.regexp_count(F.concat(F.lit(" "), F.array_join("words", " ")), F.col("pattern"))
+            .alias("phrase_positions"),
+        )
         .filter("phrase_positions > 0")
     )
     hits = F.col("word_positions") + F.coalesce("phrase_positions", F.lit(0))
     return (
         joined.join(phrase_rows, ["query_id", "chunk_id"], "left")
-        .select("query_id", "chunk_id", *_CARRIED, hits.alias("matched_positions"))
+        .select("query_id", "chunk_id", "indexed_at", hits.alias("matched_positions"))
         .filter("matched_positions > 0")
         .withColumn("lexical_raw", F.col("matched_positions") * RANK_PER_POSITION)
     )
 
 
-def _phrase_only_positions() -> Column:
-    """How many positions start a phrase without matching a word clause (those are counted already)."""
-    words = F.col("words")
-
-    def starts_phrase(i: Column) -> Column:
-        return F.exists(
-            "phrase_clauses",
-            lambda clause: F.forall(
-                F.arrays_zip(clause.alias("p"), F.sequence(F.lit(0), F.size(clause) - 1).alias("j")),
-                lambda e: F.coalesce(F.startswith(F.get(words, i + e["j"]), e["p"]), F.lit(False)),
-            ),
-        )
-
-    counted = lambda i: F.exists("word_clauses", lambda w: F.startswith(F.get(words, i), w))
-    spots = F.sequence(F.lit(0), F.size(words) - 1)
-    return F.when(
-        F.size(words) > 0, F.size(F.filter(spots, lambda i: starts_phrase(i) & ~counted(i)))
-    ).otherwise(F.lit(0))
+def _phrase_pattern() -> Column:
+    """A look-ahead that holds where a phrase starts and no word clause matches (those are counted already).
+    Clauses hold letters and digits only, so they need no escaping."""
+    phrases = F.array_join(F.transform("phrase_clauses", lambda c: F.array_join(c, "[^ ]* ")), "|")
+    counted = F.when(
+        F.size("word_clauses") > 0, F.concat(F.lit("(?!"), F.array_join("word_clauses", "|"), F.lit(")"))
+    ).otherwise(F.lit(""))
+    return F.concat(F.lit("(?= "), counted, F.lit("(?:"), phrases, F.lit("))"))
 
 
 def lexical_topk(matches: DataFrame, k: int = V.CANDIDATE_LIMIT) -> DataFrame:

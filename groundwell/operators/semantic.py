@@ -96,6 +96,8 @@ def semantic_topk(
         F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"),
         F.explode(F.sequence(F.lit(0), F.col("chunk_blocks") - 1)).alias("chunk_block"),
     )
+    # fresh column identities: both sides may come from one table
+    cut_chunks, cut_queries = cut_chunks.toDF(*cut_chunks.columns), cut_queries.toDF(*cut_queries.columns)
     by = [*_KEYS, "chunk_block", "query_block"]
     id_type = queries.schema["query_id"].dataType.simpleString()
     best = cut_chunks.groupBy(by).cogroup(cut_queries.groupBy(by)).applyInArrow(

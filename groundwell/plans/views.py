@@ -19,9 +19,12 @@ class Corpus:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.directory = directory
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return self._tables[name]
 
     @property
     def kb(self) -> DataFrame:
