@@ -26,8 +26,15 @@ def strings(values: list[str]) -> Column:
     return F.split(F.lit("|".join(values)), r"\|")
 
 
+# The white space characters of Unicode, for trimming without a pattern.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def collapse(text: Column) -> Column:
