@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["retrieval_queries", "function_queries", "entity_queries"]
+FAMILIES = ["retrieval_queries", "function_queries", "entity_queries", "ingest_queries"]
 
 
 def load():
