@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-FAMILIES = ["retrieval_queries", "function_queries", "entity_queries", "ingest_queries"]
+FAMILIES = [
+    "retrieval_queries", "function_queries", "entity_queries", "ingest_queries", "ops_queries",
+    "answer_queries",
+]
 
 
 def load():
