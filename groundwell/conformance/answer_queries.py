@@ -26,7 +26,7 @@ def ground(c):
     key = F.col("doc_id") * 31 + F.col("chunk_no") * 17 + F.col("query_id") * 7
     asked = c.questions.select("query_id", "kb_id", (F.col("query_id") % 3).alias("bucket"))
     chunks = c.live_line_chunks.withColumn("bucket", F.col("doc_id") % 3)
-    rows = asked.join(chunks, ["kb_id", "bucket"]).withColumn("hybrid_score", F.round((key % 97) / 97.0, 6))
+    rows = asked.join(chunks, ["kb_id", "bucket"]).withColumn("hybrid_score", (key % 97) / 97.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.asc("chunk_id"))
     return rows.withColumn("grounding_rank", F.row_number().over(order)).filter("grounding_rank <= 6").drop("bucket")
 
@@ -50,8 +50,8 @@ def prepared_citations(c):
 
 VIEWS = {
     "ground": """
-        SELECT * FROM (SELECT q.query_id, c.*, round((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE, 6) AS hybrid_score,
-            row_number() OVER (PARTITION BY q.query_id ORDER BY round((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE, 6) DESC, chunk_id) AS grounding_rank
+        SELECT * FROM (SELECT q.query_id, c.*, ((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE) AS hybrid_score,
+            row_number() OVER (PARTITION BY q.query_id ORDER BY ((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE) DESC, chunk_id) AS grounding_rank
           FROM v_question q JOIN v_live_chunk c ON c.kb_id = q.kb_id AND c.doc_id % 3 = q.query_id % 3) WHERE grounding_rank <= 6""",
     "answer": """
         SELECT query_id, concat_ws(' ', left(max(search_text) FILTER (grounding_rank = 1), 200), left(max(search_text) FILTER (grounding_rank = 2), 100)) AS answer_text
@@ -185,9 +185,11 @@ def _(c):
 
 @query("x05_citation_order", "SELECT query_id, chunk_id, order_no FROM ordered_cite", VIEWS)
 def _(c):
-    order = Window.partitionBy("query_id").orderBy(*X.citation_order())
-    rows = prepared_citations(c).filter("reason IS NULL")
-    return rows.select("query_id", "chunk_id", F.row_number().over(order).cast("long").alias("order_no"))
+    rows = prepared_citations(c).withColumn("accepted", F.col("reason").isNull())
+    order = Window.partitionBy("query_id", "accepted").orderBy(*X.citation_order())
+    ranked = rows.withColumn("order_no", F.row_number().over(order).cast("long"))
+    return ranked.withColumn("order_no", F.when(F.col("accepted"), F.col("order_no"))).groupBy("query_id", "chunk_id").agg(
+        F.max("order_no").alias("order_no")).filter("order_no IS NOT NULL")
 
 
 @query("x06_citation_redundancy", f"""
@@ -287,8 +289,8 @@ def _(c):
 @query("x13_retrieval_meta", """
     SELECT q.query_id, '{"lexicalUsed":' || (n > 0) || ',"semanticUsed":false,"totalCandidates":' || n || ',"selectedChunks":[' || items
       || '],"topScore":' || top || '}' AS meta
-    FROM v_question q JOIN (SELECT query_id, count(*) AS n, max(hybrid_score) AS top,
-        string_agg('{"chunkId":"' || chunk_id || '","score":' || hybrid_score || '}', ',' ORDER BY grounding_rank) AS items FROM ground GROUP BY query_id) g USING (query_id)""", VIEWS)
+    FROM v_question q JOIN (SELECT query_id, count(*) AS n, round(max(hybrid_score), 6) AS top,
+        string_agg('{"chunkId":"' || chunk_id || '","score":' || round(hybrid_score, 6) || '}', ',' ORDER BY grounding_rank) AS items FROM ground GROUP BY query_id) g USING (query_id)""", VIEWS)
 def _(c):
     base = ground(c).groupBy("query_id").agg(
         (F.count("*") > 0).alias("lexical_used"), F.lit(False).alias("semantic_used"),

@@ -21,22 +21,22 @@ MAX_ANSWER_LENGTH = 1600
 MAX_WINDOW_LENGTH = 420
 
 
-def _text_windows(body: Column) -> Column:
-    """array<struct(start, text)>: sentences, then pairs of neighbouring sentences of up to 420 characters.
-    `body` has single blanks; starts count from 0."""
-    raw = F.regexp_extract_all(body, F.lit(r"[^.!?]+[.!?]*"), 0)
-    lead = F.length(F.regexp_extract(body, r"^[.!?]*", 0))
-    placed = F.transform(raw, lambda x, i: F.struct(
-        (lead + F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))
-         + F.length(x) - F.length(F.ltrim(x))).alias("start"),
-        F.trim(x).alias("text"),
-    ))
-    return F.filter(placed, lambda s: s["text"] != "")
+# struct(at, found): sentences placed so far and the offset the next one starts at
+_PLACE_SENTENCES = """aggregate(raw,
+    named_struct('at', lead, 'found', cast(array() as array<struct<start:int,text:string>>)),
+    (s, x) -> named_struct('at', s.at + length(x), 'found', concat(s.found, array(named_struct(
+        'start', s.at + length(x) - length(ltrim(x)), 'text', trim(x))))),
+    s -> filter(s.found, f -> f.text <> ''))"""
 
 
 def with_windows(rows: DataFrame, content: str = "content") -> DataFrame:
-    """Add `body`, the text with single blanks, and its candidate `windows`."""
-    staged = rows.withColumn("body", T.collapse(F.col(content))).withColumn("sentences", _text_windows(F.col("body")))
+    """Add `body`, the text with single blanks, and its candidate `windows`, array<struct(start, text)>:
+    sentences, then pairs of neighbouring sentences of up to 420 characters. Starts count from 0."""
+    staged = rows.withColumn("body", T.collapse(F.col(content))).withColumns({
+        "raw": F.regexp_extract_all("body", F.lit(r"[^.!?]+[.!?]*"), 0),
+        "lead": F.length(F.regexp_extract("body", r"^[.!?]*", 0)),
+    })
+    staged = staged.withColumn("sentences", F.expr(_PLACE_SENTENCES)).drop("raw", "lead")
     spots = F.when(F.size("sentences") > 1, F.sequence(F.lit(0), F.size("sentences") - 2)).otherwise(
         F.array().cast("array<int>")
     )
@@ -186,7 +186,10 @@ def select_citations(prepared: DataFrame, limit: int = V.CITATION_LIMIT) -> Data
     rows = prepared.withColumn("order_no", F.when(F.col("reason").isNull(), F.row_number().over(order)))
     item = F.struct(*_PICKED)
     item_type = rows.select(item.alias("x")).schema["x"].dataType.simpleString()
-    listed = rows.filter("reason IS NULL").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # no filter on `reason`: pushed below the scoring it would repeat every expression it is made of
+    listed = rows.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), item))).alias("items")
+    )
 
     def step(state: Column, candidate: Column) -> Column:
         hit = F.get(
@@ -264,10 +267,11 @@ def compose_answers(questions: DataFrame, grounding: DataFrame) -> DataFrame:
     )
     snippets = with_snippets(chosen.join(terms, "query_id")).withColumn(
         "piece", clean_snippet(F.coalesce("snippet", "content"))
-    ).filter("piece <> ''")
+    )
     sentence = F.when(F.col("piece").rlike(r"[.!?]$"), F.col("piece")).otherwise(F.concat("piece", F.lit(".")))
-    listed = snippets.withColumn("piece", sentence).groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("choice_no", "chunk_id", "piece"))).alias("items")
+    item = F.struct("choice_no", "chunk_id", sentence.alias("piece"))
+    listed = snippets.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("piece") != "", item))).alias("items")
     )
     answer = F.substring(
         F.array_join(F.array_distinct(F.transform("items", lambda x: x["piece"])), " "), 1, MAX_ANSWER_LENGTH
@@ -275,9 +279,10 @@ def compose_answers(questions: DataFrame, grounding: DataFrame) -> DataFrame:
     built = listed.select(
         "query_id", answer.alias("answer"), F.transform("items", lambda x: x["chunk_id"]).alias("used_chunk_ids")
     )
+    found = F.coalesce(F.size("used_chunk_ids"), F.lit(0)) > 0
     return questions.select("query_id").join(built, "query_id", "left").select(
-        "query_id", F.when(F.col("answer").isNotNull(), "grounded").otherwise("insufficient_data").alias("status"),
-        F.coalesce("answer", F.lit(V.NO_EVIDENCE_ANSWER)).alias("answer"),
+        "query_id", F.when(found, "grounded").otherwise("insufficient_data").alias("status"),
+        F.when(found, F.col("answer")).otherwise(V.NO_EVIDENCE_ANSWER).alias("answer"),
         F.coalesce("used_chunk_ids", F.array().cast("array<string>")).alias("used_chunk_ids"),
     )
 
