@@ -89,7 +89,7 @@ VIEWS = {
         FROM item0""",
     "item_terms": f"""
         SELECT *, {Q.significant("array_to_string(list_transform(sources, lambda s: s.text), ' ')")} AS st,
-          {Q.significant("array_to_string(list_transform(citations, lambda s: s.text), ' ')")} AS ct, {Q.significant('answer')} AS at,
+          {Q.significant("array_to_string(list_transform(citations, lambda s: s.text), ' ')")} AS ct, {Q.significant('answer')} AS ans_t,
           {Q.significant('expected_answer')} AS et, {Q.significant('expected_hint')} AS ht,
           {Q.significant("CASE WHEN expected_answer <> '' THEN expected_answer ELSE expected_hint END")} AS tt,
           expected_answer <> '' OR expected_hint <> '' AS has_target,
@@ -99,14 +99,14 @@ VIEWS = {
         SELECT *, {Q.share("len(list_filter(ht, lambda w: list_contains(st, w)))", 'len(ht)')} AS hint_cov,
           {Q.share("len(list_filter(tt, lambda w: list_contains(st, w)))", 'len(tt)')} AS ret_cov,
           {Q.share("len(list_filter(tt, lambda w: list_contains(ct, w)))", 'len(tt)')} AS cit_cov,
-          {Q.share("len(list_filter(ht, lambda w: list_contains(at, w)))", 'len(ht)')} AS ans_hint,
-          len(list_filter(list_distinct(at), lambda w: list_contains(et, w))) AS overlap,
+          {Q.share("len(list_filter(ht, lambda w: list_contains(ans_t, w)))", 'len(ht)')} AS ans_hint,
+          len(list_filter(list_distinct(ans_t), lambda w: list_contains(et, w))) AS overlap,
           coalesce(len(list_filter(citations, lambda s: s.document_id = expected_doc)) > 0, false) AS cited_expected FROM item_terms""",
     "item_hit": """
         SELECT *, CASE WHEN expected_doc IS NOT NULL THEN len(list_filter(sources, lambda s: s.document_id = expected_doc)) > 0
               WHEN expected_hint <> '' THEN hint_cov >= 0.6 ELSE len(sources) > 0 END AS hit,
           CASE WHEN refuses OR answer = '' THEN 0.0::DOUBLE ELSE greatest(CASE WHEN overlap > 0 THEN 2.0::DOUBLE * overlap
-              / (len(list_distinct(at)) + len(list_distinct(et))) ELSE 0 END, ans_hint) END AS signal,
+              / (len(list_distinct(ans_t)) + len(list_distinct(et))) ELSE 0 END, ans_hint) END AS signal,
           CASE WHEN refuses THEN CASE WHEN len(citations) = 0 THEN 2 ELSE 0 END WHEN len(citations) = 0 THEN 0
               WHEN len(citations) > 3 THEN 1 ELSE 2 END AS integrity FROM item_cov""",
     "item_dims": f"""
