@@ -113,21 +113,15 @@ def lexical_matches(clauses: DataFrame, chunks: DataFrame, salts: int = 8) -> Da
         )
     )
     phrased = asked.filter(F.size("phrase_clauses") > 0).select("query_id", _phrase_pattern().alias("pattern"))
-    phrase_rows = (
-        joined.filter("may_hold_phrase").select("query_id", "chunk_id")
-        .join(phrased, "query_id")
-        .join(docs.select("chunk_id", "words"), "chunk_id")
-        .select(
-            "query_id", "chunk_id",
-            F.regexp_count(F.concat(F.lit(" "), F.array_join("words", " ")), F.col("pattern"))
-            .alias("phrase_positions"),
-        )
-        .filter("phrase_positions > 0")
-    )
-    hits = F.col("word_positions") + F.coalesce("phrase_positions", F.lit(0))
+    # only rows that may hold a phrase fetch their words; the others get a key that matches no chunk, which
+    # keeps them spread where a null key would send them all to one task
+    fetch = F.when(F.col("may_hold_phrase"), F.col("chunk_id")).otherwise(F.concat(F.lit("-"), "chunk_id"))
+    words = docs.select(F.col("chunk_id").alias("fetch"), F.concat(F.lit(" "), F.array_join("words", " ")).alias("line"))
+    phrase_positions = F.coalesce(F.regexp_count(F.col("line"), F.col("pattern")), F.lit(0))
+    hits = (F.col("word_positions") + phrase_positions).alias("matched_positions")
     return (
-        joined.join(phrase_rows, ["query_id", "chunk_id"], "left")
-        .select("query_id", "chunk_id", "indexed_at", hits.alias("matched_positions"))
+        joined.withColumn("fetch", fetch).join(words, "fetch", "left").join(phrased, "query_id", "left")
+        .select("query_id", "chunk_id", "indexed_at", hits)
         .filter("matched_positions > 0")
         .withColumn("lexical_raw", F.col("matched_positions") * RANK_PER_POSITION)
     )
