@@ -38,7 +38,12 @@ def build_job_message(**fields: Column) -> Column:
 
 
 def vector_to_text(vector: Column) -> Column:
-    shown = F.transform(vector, lambda x: F.format_string("%.12f", x.cast("double")))
+    """`[a,b,...]` with twelve decimals; an exact tie goes to the even digit."""
+    def number(x: Column) -> Column:
+        exact = x.cast("double").cast("decimal(38,20)")
+        return F.format_string("%.12f", F.bround(exact, 12).cast("double"))
+
+    shown = F.transform(vector, number)
     return F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]"))
 
 
