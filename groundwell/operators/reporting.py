@@ -30,11 +30,16 @@ def _dimension(name: str) -> Column:
     return F.try_element_at("dimensions", F.lit(name))
 
 
+def _held(dimension: Column) -> Column:
+    """Passed, and applicable at all."""
+    return F.coalesce(dimension["applicable"] & dimension["passed"], F.lit(False))
+
+
 def run_summary(items: DataFrame) -> DataFrame:
     """One row per run: counts, rates, means and token totals, in one aggregation."""
     total = F.count("*")
     rates = {
-        rate: _rate(F.count_if(F.coalesce(_dimension(d)["passed"], F.lit(False))), F.count_if(_dimension(d)["applicable"]))
+        rate: _rate(F.count_if(_held(_dimension(d))), F.count_if(_dimension(d)["applicable"]))
         for rate, d in RATES.items()
     }
     flag = F.col("regression_flag") if "regression_flag" in items.columns else F.lit(False)
@@ -50,7 +55,7 @@ def run_summary(items: DataFrame) -> DataFrame:
 
 def dimension_rates(items: DataFrame) -> DataFrame:
     rows = items.select("run_id", F.explode("dimensions").alias("dimension", "d"))
-    applicable, passed = F.count_if("d.applicable"), F.count_if(F.coalesce(F.col("d.passed"), F.lit(False)))
+    applicable, passed = F.count_if("d.applicable"), F.count_if(_held(F.col("d")))
     return rows.groupBy("run_id", "dimension").agg(
         applicable.alias("applicable_cases"), passed.alias("passed_cases"), _rate(passed, applicable).alias("rate")
     )

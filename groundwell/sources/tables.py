@@ -57,6 +57,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and go on from the written table:
+    it is computed once, and a lost executor costs a file read instead of the whole lineage."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Write a chunk table partitioned by knowledge base; only the partitions present are replaced.
 
