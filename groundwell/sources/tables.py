@@ -52,8 +52,14 @@ def text_to_vector(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the session's checkpoint directory; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundwell-")
+    """A fresh folder below the session's checkpoint directory. Only a local session may do without that setting:
+    on a cluster a folder of one machine would be missing on the others."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="groundwell-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
