@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import exact, shards
+from groundwell.llm import bpe, exact, langid, shards
 from groundwell.llm.common import documents
 
 
+def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    path, pattern = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+    done = bpe.decode(bpe.encode(documents(spark, directory), path, pattern), path, pattern)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_shards(spark: SparkSession, directory: str) -> DataFrame:
     placed = shards.lpt_shards(documents(spark, directory), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -20,8 +27,16 @@ def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact.exact_groups(documents(spark, directory))
 
 
+def op10_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_shards": op2_shards,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
