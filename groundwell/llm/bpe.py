@@ -29,7 +29,8 @@ class Vocabulary:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
-        self.pattern = regex.compile(pattern)
+        # white space is the Unicode property here, as in the rank files' own library
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.piece = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():

@@ -8,8 +8,8 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, exact, langid, shards
-from groundwell.llm.common import documents
+from groundwell.llm import bpe, exact, huffman, langid, shards
+from groundwell.llm.common import documents, shared_dir
 
 
 def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_shards(spark: SparkSession, directory: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_huffman_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    path = shared_dir(spark, "huffman")
+    huffman.write_tokens(documents(spark, directory), tokenizers.path("word_bpe_49k.json"), path)
+    return huffman.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact.exact_groups(documents(spark, directory))
 
@@ -36,6 +42,7 @@ def op10_language_id(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_shards": op2_shards,
+    "op6_huffman_tokens": op6_huffman_tokens,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_language_id": op10_language_id,
 }
