@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundwell.sources.tables import settle, shared_dir
 
-__all__ = ["settle", "shared_dir", "documents", "utf8", "rows_of", "hash_words", "keep_documents", "parts_for", "MIX"]
+__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "keep_documents", "parts_for", "MIX"]
 
 #: odd multiplier of the 64-bit mixing steps
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -23,6 +23,12 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2,000 rows from here on: a task's Python memory does not depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins (one more entry than texts). Null is empty."""
     if column.null_count:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import shared_dir
+from groundwell.llm.common import bounded_batches, shared_dir
 
 #: ids in binary columns: little-endian unsigned 32-bit
 ID = np.dtype("<u4")
@@ -218,6 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, limit
     driver; both are bounded, by the vocabulary and by spark.sql.shuffle.partitions.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer, encoding="utf-8") as file:
         content = file.read()
     size = 1 + max(*json.loads(content)["model"]["vocab"].values(), *[t["id"] for t in json.loads(content)["added_tokens"]], end)

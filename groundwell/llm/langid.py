@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import utf8
+from groundwell.llm.common import bounded_batches, utf8
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: ByteConv | None) -> DataFrame:
     gives the language and its score. `und` with score 0 where the text is null, empty or without a letter, and
     everywhere if nothing could be learned. Ties go to the language first in the alphabet. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("letter"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

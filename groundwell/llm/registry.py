@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, exact, huffman, langid, shards
+from groundwell.llm import bpe, exact, huffman, langid, licenses, shards
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -23,6 +23,10 @@ def op2_shards(spark: SparkSession, directory: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, directory))
+
+
 def op6_huffman_tokens(spark: SparkSession, directory: str) -> DataFrame:
     path = shared_dir(spark, "huffman")
     huffman.write_tokens(documents(spark, directory), tokenizers.path("word_bpe_49k.json"), path)
@@ -42,6 +46,7 @@ def op10_language_id(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_shards": op2_shards,
+    "op3_licenses": op3_licenses,
     "op6_huffman_tokens": op6_huffman_tokens,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_language_id": op10_language_id,
