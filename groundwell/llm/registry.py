@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, exact, huffman, langid, licenses, shards
+from groundwell.llm import bpe, exact, huffman, langid, licenses, shards, toxicity
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -37,6 +37,11 @@ def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact.exact_groups(documents(spark, directory))
 
 
+def op9_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{directory}/labels.parquet")))
+
+
 def op10_language_id(spark: SparkSession, directory: str) -> DataFrame:
     docs = documents(spark, directory)
     found = langid.identify(docs, langid.train(docs))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op6_huffman_tokens": op6_huffman_tokens,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
