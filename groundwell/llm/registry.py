@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, exact, huffman, langid, licenses, shards, toxicity
+from groundwell.llm import bpe, exact, huffman, langid, licenses, minhash, shards, toxicity
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -27,6 +27,10 @@ def op3_licenses(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, directory))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, directory)).select("doc_id", "class_id", "class_size")
+
+
 def op6_huffman_tokens(spark: SparkSession, directory: str) -> DataFrame:
     path = shared_dir(spark, "huffman")
     huffman.write_tokens(documents(spark, directory), tokenizers.path("word_bpe_49k.json"), path)
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_shards": op2_shards,
     "op3_licenses": op3_licenses,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_huffman_tokens": op6_huffman_tokens,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
