@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import rows_of, settle
+from groundwell.llm.common import bounded_batches, rows_of, settle
 
 #: a boundary this close to the end of a chunk may still depend on characters beyond it (the longest contraction has 3)
 GUARD = 4
@@ -24,7 +24,7 @@ _LOADED: dict[tuple[int, str], "Vocabulary"] = {}
 class Vocabulary:
     """Ranks of a vocabulary file, the splitting pattern, and a bounded memory of pieces met before."""
 
-    def __init__(self, file: bytes, pattern: str, remembered: int = 200_000):
+    def __init__(self, file: bytes, pattern: str, remembered: int = 100_000):
         import regex
         import tiktoken
 
@@ -77,16 +77,8 @@ def _encode_whole(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary.of(shared, pattern)
         for batch in batches:
-            texts, ids, kept = _column(batch, "text").to_pylist(), [], 0
-            doc_ids = _column(batch, "doc_id")
-            begun = 0
-            for i, text in enumerate(texts):
-                ids.append(words.encode(text or ""))
-                kept += len(ids[-1])
-                if kept > 1 << 25:  # results go on in pieces of about 32 MB
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(begun, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    begun, ids, kept = i + 1, [], 0
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(begun, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [words.encode(text or "") for text in _column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
@@ -183,6 +175,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
     """
     if overlap <= 2 * GUARD or chunk <= overlap:
         raise ValueError("chunk must exceed overlap, and overlap must exceed the guard")
+    bounded_batches(docs.sparkSession)
     shared = load(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
@@ -207,6 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """tokens(doc_id, ids) with the raw bytes of all ids, concatenated, as `decoded`. Null ids are empty."""
+    bounded_batches(tokens.sparkSession)
     shared = load(tokens.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
