@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundwell.sources.tables import settle, shared_dir
 
-__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "keep_documents", "parts_for", "MIX"]
+__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "hash_sample", "keep_documents", "parts_for", "MIX"]
 
 #: odd multiplier of the 64-bit mixing steps
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +105,18 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
 
+def hash_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The `most` rows of smallest hash of the keys. Rows are counted first, so that a task sends about its share of them and
+    not `most` rows each; the sample is the same however the rows are partitioned."""
+    total = rows.count()
+    drawn = rows.withColumn("__h", F.xxhash64(*keys))
+    if total > 4 * most:
+        # twice the share, and a margin for chance: the smallest hashes lie below this bound all but certainly
+        share = (2 * most + 200) / total
+        drawn = drawn.filter(F.col("__h") <= int(-(2**63) + share * 2**64))
+    return drawn.orderBy("__h", *keys).limit(most).drop("__h")
+
+
 def keep_documents(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
     """Rows of docs whose doc_id is in kept(keep_doc), null matching null; all columns of docs, unchanged.
 

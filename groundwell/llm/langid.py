@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bounded_batches, utf8
+from groundwell.llm.common import bounded_batches, hash_sample, utf8
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -135,9 +135,10 @@ def train(docs: DataFrame, rows: int = 4000, windows_a_text: int = 2, window: in
     `rows` bounds the sample whatever the size of the table; each row gives the first windows of its text. Rows of held-out
     documents and rows without a language are not learned from. The sample does not depend on the partitioning.
     """
-    usable = F.col("lang").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id"))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     head = F.substring("text", 1, windows_a_text * window)
-    sample = docs.filter(usable).select(head.alias("head"), "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(rows).collect()
+    picked = hash_sample(labelled.filter(has_letter(F.col("text"))), rows, "doc_id", "text", "lang")
+    sample = picked.select(head.alias("head"), "lang").collect()
     if not sample:
         return None
     labels = sorted({r["lang"] for r in sample})

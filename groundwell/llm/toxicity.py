@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bounded_batches
+from groundwell.llm.common import bounded_batches, hash_sample, settle
 
 #: order of the chain; the last one needs both of the others
 CATEGORIES = ("low_quality", "toxic", "severe")
@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
     for any size of the tables. Of several labels of a document the worst counts; null labels count as clean.
     """
     worst = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
-    hashed = worst.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
-    picked = hashed.filter("toxic > 0").orderBy("h", "doc_id").limit(positives).unionByName(hashed.filter("toxic <= 0").orderBy("h", "doc_id").limit(negatives))
+    known_docs = settle(worst.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "toxicity-labels")
+    picked = hash_sample(known_docs.filter("toxic > 0"), positives, "doc_id").unionByName(hash_sample(known_docs.filter("toxic <= 0"), negatives, "doc_id"))
     # at most positives + negatives rows; of rows that repeat a doc_id the first text in order counts
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "quality").agg(F.min("text").alias("text")).orderBy("doc_id")
     sample = texts.toLocalIterator()
