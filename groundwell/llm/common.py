@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundwell.sources.tables import settle, shared_dir
 
-__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "hash_sample", "keep_documents", "parts_for", "MIX"]
+__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "hash_sample", "keep_documents", "parts_for", "slices", "MIX"]
 
 #: odd multiplier of the 64-bit mixing steps
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,21 +58,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """base to the power 0, 1, ..., n - 1 modulo 2^64; kept between calls."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range; equal bytes give equal hashes wherever they stand."""
     base = int(MIX)
-    up = _powers(len(data) + 1, base)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    down = _powers(len(data) + 1, pow(base, -1, 1 << 64))
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.multiply(data, _powers(len(data), base), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    size = (ends - starts).astype(np.uint64)
+    # the length keeps ranges apart that differ in zero bytes at the end only
+    return mixed((sums[ends] - sums[starts]) * _powers(len(data) + 1, pow(base, -1, 1 << 64))[starts] + size * np.uint64(0xA0761D6478BD642F))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes of text each, a row at least; they stay in the processor's cache."""
+    begun, (_, offsets) = 0, utf8(batch.column(column))
+    while begun < batch.num_rows:
+        end = max(begun + 1, int(np.searchsorted(offsets, offsets[begun] + size, "right")) - 1)
+        yield batch.slice(begun, end - begun)
+        begun = end
 
 
 _WORD = np.ones(256, bool)

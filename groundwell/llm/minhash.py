@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, bounded_batches, hash_words, mixed, settle, utf8
+from groundwell.llm.common import MIX, bounded_batches, hash_words, mixed, settle, slices, utf8
 
 SHINGLE = 5
 
@@ -96,14 +96,10 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _sign(bands: int, rows: int, slice_bytes: int = 1 << 21):
+def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            begun = 0
-            _, offsets = utf8(whole.column(1))
-            while begun < whole.num_rows:  # slices of about 2 MB stay in the cache
-                end = max(begun + 1, int(np.searchsorted(offsets, offsets[begun] + slice_bytes, "right")) - 1)
-                batch, begun = whole.slice(begun, end - begun), end
+            for batch in slices(whole, 1):
                 data, at = utf8(batch.column(1))
                 element, text, weight = multisets(*shingles(data, at))
                 signatures = bag_minhash(element, text, weight.astype(float), batch.num_rows, bands * rows)

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, exact, huffman, langid, licenses, minhash, shards, toxicity
+from groundwell.llm import bpe, decontam, exact, huffman, langid, licenses, minhash, shards, toxicity
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -37,6 +37,10 @@ def op6_huffman_tokens(spark: SparkSession, directory: str) -> DataFrame:
     return huffman.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontam.leaks(documents(spark, directory), spark.read.parquet(f"{directory}/benchmark.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact.exact_groups(documents(spark, directory))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_huffman_tokens": op6_huffman_tokens,
+    "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
