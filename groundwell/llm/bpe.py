@@ -210,3 +210,9 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), _column(batch, "ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode and decode docs(doc_id, text): doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
+    done = decode(encode(docs, path, pattern), path, pattern)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

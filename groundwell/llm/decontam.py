@@ -231,7 +231,7 @@ def _search(items: list[Item], terms: Terms, latent: np.ndarray, cosine: float,
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.3, contained: float = 0.35, verbatim: float = 0.8, similar: float = 0.6,
+    docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.3, contained: float = 0.3, verbatim: float = 0.8, similar: float = 0.6,
     answered: float = 0.6, run_words: int = 13, fit_rows: int = 3000, items_a_pass: int = 2000,
 ) -> DataFrame:
     """Pairs of docs(doc_id, text) and benchmark(item_id, text) of which the document holds the item: doc_id, item_id,
@@ -272,3 +272,9 @@ def leaks(
         found = found.unionByName(rows.mapInArrow(_search(part, terms, latent, cosine, contained, verbatim, similar, answered, run_words), columns))
     best = F.max(F.struct("lcs_share", "answer_share", "longest_run", "cosine")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of docs that hold no item of the benchmark; all columns, unchanged. A doc_id that holds one goes with all its rows."""
+    held = leaks(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(held, docs["doc_id"].eqNullSafe(F.col("__held")), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import settle
+from groundwell.llm.common import keep_rows, settle
 
 #: characters that do not count when texts are compared: blank and \x09-\x0D
 IGNORED = " \t\n\x0b\x0c\r"
@@ -25,8 +25,18 @@ def _rank(points: Column, doc_id: Column) -> Column:
     return (points.cast("decimal(11,0)") * F.expr(f"cast({_SHIFT} as decimal(21,0))") + F.coalesce(turned, F.lit(0))).cast("decimal(38,0)")
 
 
+def row_hash() -> Column:
+    """Tells rows of docs apart by doc_id and original text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """Rows of docs that stay: one of each group of equal texts; all columns, unchanged."""
+    return keep_rows(docs, row_hash(), exact_groups(docs).filter("kept").select("row_hash"), once=True)
+
+
 def exact_groups(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, row_hash.
 
     Texts are equal when they are identical without blanks and \\x09-\\x0D; a null text is empty. Of equal texts the row
     with the most code points stays, then the smallest doc_id; a null doc_id comes last. Of rows that repeat doc_id and
@@ -42,7 +52,7 @@ def exact_groups(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Co
     def rows() -> DataFrame:
         text = normalized(F.col("text"))
         return docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), text.alias("norm"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256")
+            F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), text.alias("norm"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), row_hash().alias("row_hash")
         )
 
     def classes(source: DataFrame) -> DataFrame:
@@ -64,7 +74,7 @@ def exact_groups(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Co
     keep_id = F.when(rest > 0, (F.expr(f"cast({_TOP} as decimal(20,0))") - rest).cast("long"))
     same = Window.partitionBy("doc_id", "text_sha256", "points").orderBy(F.lit(1))
     wins = (_rank(F.col("points"), F.col("doc_id")) == F.col("rank")) & (F.row_number().over(same) == 1)
-    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", wins.alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", wins.alias("kept"), "text_sha256", "row_hash")
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, bounded_batches, hash_words, mixed, settle, slices, utf8
+from groundwell.llm.common import MIX, bounded_batches, hash_words, keep_rows, mixed, settle, slices, utf8
 
 SHINGLE = 5
 
@@ -158,7 +158,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 5, rounds: int = 2) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, class_id, class_size (rows), text_class.
+    """One row per row of docs(doc_id, text): doc_id, class_id, class_size (rows), text_class, node (names the text).
 
     Two texts are linked when the multisets of their five-word shingles (words split at ASCII white space, A-Z as a-z)
     have a weighted Jaccard similarity of at least `similarity`; equal texts always are. Classes are the connected
@@ -215,4 +215,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
     classed = nodes.join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("text_class"))
     classes = classed.groupBy("text_class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = settle(classed.join(classes, "text_class").select("node", "class_id", "class_size", "text_class"), "minhash-classes")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.hex("text_class").alias("text_class"))
+    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.hex("text_class").alias("text_class"), F.hex("node").alias("node"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """Rows of docs that stay: of each class the text of smallest doc_id (null last), once; all columns, unchanged."""
+    first = near_duplicates(docs).groupBy("text_class").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("node"))
+    return keep_rows(docs, F.upper(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)), first.select("node"), once=True)

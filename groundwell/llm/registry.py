@@ -13,9 +13,7 @@ from groundwell.llm.common import documents, shared_dir
 
 
 def op1_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
-    path, pattern = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(documents(spark, directory), path, pattern), path, pattern)
-    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(documents(spark, directory), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def op2_shards(spark: SparkSession, directory: str) -> DataFrame:
@@ -42,7 +40,7 @@ def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    return exact.exact_groups(documents(spark, directory))
+    return exact.exact_groups(documents(spark, directory)).drop("row_hash")
 
 
 def op9_toxicity(spark: SparkSession, directory: str) -> DataFrame:
