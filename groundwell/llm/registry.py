@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, decontam, exact, huffman, langid, licenses, minhash, shards, toxicity
+from groundwell.llm import bpe, decontam, exact, huffman, langid, licenses, minhash, repeats, shards, toxicity
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -29,6 +29,11 @@ def op4_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, directory)).select("doc_id", "class_id", "class_size")
 
 
+def op5_repeated_passages(spark: SparkSession, directory: str) -> DataFrame:
+    done = repeats.remove_repeats(documents(spark, directory))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_huffman_tokens(spark: SparkSession, directory: str) -> DataFrame:
     path = shared_dir(spark, "huffman")
     huffman.write_tokens(documents(spark, directory), tokenizers.path("word_bpe_49k.json"), path)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op3_licenses": op3_licenses,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_huffman_tokens": op6_huffman_tokens,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
