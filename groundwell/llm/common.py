@@ -63,7 +63,7 @@ _POWERS = {}
 
 def _powers(n: int, base: int) -> np.ndarray:
     """base to the power 0, 1, ..., n - 1 modulo 2^64; kept between calls."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         _POWERS[base] = np.multiply.accumulate(out)

@@ -58,9 +58,10 @@ class ByteConv:
                 np.add.at(grads["embed"], at, g[:, :, None] * p[f"k{w}"][k].T[None])
         return grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, size: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConv:
-        """Adam over shuffled batches; classes weigh the same however rare they are."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, least_steps: int = 600, size: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConv:
+        """Adam over shuffled batches, `least_steps` of them at least; classes weigh the same however rare they are."""
         rng, step = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-least_steps * size // max(len(x), 1)) if len(x) > size else least_steps)
         weight = (1 / np.maximum(np.bincount(y, minlength=len(self.labels)), 1))[y]
         first = {k: np.zeros_like(v) for k, v in self.params.items()}
         second = {k: np.zeros_like(v) for k, v in self.params.items()}
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: ByteConv | None) -> DataFrame:
     return rows.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: ByteConv | None, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, model: ByteConv | None, least: float = 0.3) -> DataFrame:
     """Rows of docs in a language that could be told: not `und`, and with a score of at least `least`; all columns, unchanged.
 
     Works where the rows are read, without a join. Without a model nothing is rejected but texts without a letter.

@@ -28,7 +28,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sizes = np.diff(offsets)
     count = len(data) - LENGTH + 1
     if count <= 0 or (sizes >= LENGTH).sum() == 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.int64, np.int64))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.multiply(data, _powers(len(data), int(MIX)), out=sums[1:])
     np.cumsum(sums, out=sums)
