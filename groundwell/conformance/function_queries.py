@@ -222,11 +222,11 @@ def _(c):
 
 
 @query("f24_safe_filename", r"""
-    SELECT doc_id, coalesce(left(regexp_replace(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'),
-             '-{2,}', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 80) || '.txt', '') AS filename
-    FROM v_document WHERE regexp_matches(name, '[A-Za-z0-9_]')""")
+    SELECT doc_id, CASE WHEN NOT regexp_matches(name, '[A-Za-z0-9_]') THEN '' ELSE coalesce(left(regexp_replace(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'),
+             '-{2,}', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 80) || '.txt', '') END AS filename
+    FROM v_document""")
 def _(c):
-    return c.documents.filter(F.col("name").rlike("[A-Za-z0-9_]")).select(
+    return c.documents.select(
         "doc_id", F.coalesce(T.safe_filename(F.concat("name", F.lit(".txt"))), F.lit("")).alias("filename")
     )
 

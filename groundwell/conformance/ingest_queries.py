@@ -496,11 +496,10 @@ def _(c):
 
 
 @query("n02_dehyphenate", r"""
-    SELECT doc_id, replace(replace(text, 'ea', 'e' || 'a'), chr(10), chr(10)) AS text FROM documents
-    WHERE NOT regexp_matches(text, '-\n')""")
+    SELECT doc_id, regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), 'e-\na', 'ea', 'g') AS text FROM documents""")
 def _(c):
     broken = F.regexp_replace("text", "ea", "e-\na")
-    return c.table("documents").filter(~F.col("text").contains("-\n")).select("doc_id", N.dehyphenate(broken).alias("text"))
+    return c.table("documents").select("doc_id", N.dehyphenate(broken).alias("text"))
 
 
 @query("n03_normalize_line", rf"""

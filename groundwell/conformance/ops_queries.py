@@ -210,7 +210,8 @@ def _(c):
 @query("q09_audit_sanitize", r"""
     SELECT event_id, '{"k":' || k || ',"token":"[redacted]","note":"' || CASE WHEN event_id % 3 = 0
         THEN repeat('x', 197) || '...' ELSE 'short' END || '","inner":{"Password":"[redacted]","deep":"[truncated]","n":' || k || '},"list":['
-        || array_to_string(list_transform(generate_series(1, 20), lambda i: i::VARCHAR), ',') || ']}' AS payload
+        || array_to_string(list_transform(generate_series(1, 20), lambda i: i::VARCHAR), ',') || '],"lists":[["[truncated]",'
+        || k || ']]}' AS payload
     FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""")
 def _(c):
     k = F.get_json_object("props", "$.k").cast("int")
@@ -219,6 +220,8 @@ def _(c):
     payload = F.to_json(F.struct(
         k.alias("k"), F.lit("t").alias("token"), note.alias("note"), inner.alias("inner"),
         F.sequence(F.lit(1), F.lit(25)).alias("list")))
+    hidden = F.concat(F.lit(',"lists":[[{"password":"hunter2"},'), k.cast("string"), F.lit("]]}"))
+    payload = F.concat(payload.substr(F.lit(1), F.length(payload) - 1), hidden)
     clean = A.audit_sanitize(F.col("payload"))
     rows = c.table("events").select("event_id", payload.alias("payload")).select("event_id", clean.alias("payload"))
     # the key order of a variant object is alphabetical; put the fields back for the comparison
@@ -227,18 +230,25 @@ def _(c):
     return rows.select("event_id", F.concat(
         F.lit('{"k":'), field("k"), F.lit(',"token":"'), field("token"), F.lit('","note":"'), field("note"),
         F.lit('","inner":{"Password":"'), field("inner.Password"), F.lit('","deep":"'), field("inner.deep"),
-        F.lit('","n":'), field("inner.n"), F.lit('},"list":'), field("list"), F.lit("}")).alias("payload"))
+        F.lit('","n":'), field("inner.n"), F.lit('},"list":'), field("list"), F.lit(',"lists":'), field("lists"), F.lit("}")).alias("payload"))
 
 
 @query("q10_log_redact", """
-    SELECT event_id, json_extract_string(props, '$.k') AS k, '[REDACTED]' AS api_key, event_type AS event_name, '[REDACTED]' AS user_token
+    SELECT event_id, json_extract_string(props, '$.k') AS k, '[REDACTED]' AS api_key, event_type AS event_name, '[REDACTED]' AS user_token,
+      '{"list":[[{"api_key":"[REDACTED]","n":' || json_extract_string(props, '$.k') || '}]],"user":{"id":' || json_extract_string(props, '$.k')
+      || ',"password":"[REDACTED]"}}' AS details
     FROM events""")
 def _(c):
+    number = F.get_json_object("props", "$.k").cast("int")
     record = F.to_json(F.struct(
         F.get_json_object("props", "$.k").alias("k"), F.lit("secret-value").alias("api-key"),
-        F.col("event_type").alias("eventName"), F.lit("abc").alias("userToken")))
+        F.col("event_type").alias("eventName"), F.lit("abc").alias("userToken"),
+        F.struct(
+            F.array(F.array(F.struct(F.lit("hunter2").alias("apiKey"), number.alias("n")))).alias("list"),
+            F.struct(number.alias("id"), F.struct(F.lit("hunter2").alias("plain")).alias("password")).alias("user"),
+        ).alias("details")))
     rows = c.table("events").select("event_id", A.log_redact(record).alias("r"))
-    return rows.select("event_id", *[F.col("r")[n].alias(n) for n in ("k", "api_key", "event_name", "user_token")])
+    return rows.select("event_id", *[F.col("r")[n].alias(n) for n in ("k", "api_key", "event_name", "user_token", "details")])
 
 
 @query("q11_correlation_valid", """

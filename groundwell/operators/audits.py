@@ -59,55 +59,53 @@ def delete_restricted(requested: DataFrame, children: DataFrame, key: str) -> Da
 _TRUNCATED = "[truncated]"
 
 
-def audit_sanitize(payload: Column) -> Column:
-    """JSON payload with sensitive keys redacted, strings cut to 200 characters, lists to 20 items, and
-    objects below the second level replaced. The result is a map of JSON-encoded values."""
-    keys = T.strings(V.AUDIT_REDACTED_KEYS)
-    as_map = "map<string,variant>"
+#: levels of JSON that are looked into; what lies deeper is replaced, never printed
+_LEVELS = 6
 
-    def kind(value: Column) -> Column:
-        return F.schema_of_variant(value)
 
-    def text_of(value: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
-        return F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 197), F.lit("..."))).otherwise(text)
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _quoted(text: Column) -> Column:
+    return F.to_json(F.struct(text.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6)
+
+
+def _object(value: Column, entry) -> Column:
+    """JSON text of an object whose entries are given by `entry`."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, entry), ","), F.lit("}"))
 
-    def quoted(text: Column) -> Column:
-        return F.to_json(F.struct(text.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6)
+
+def _list(items: Column, item) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(items, item), ","), F.lit("]"))
+
+
+def audit_sanitize(payload: Column) -> Column:
+    """JSON payload with sensitive keys redacted, strings cut to 200 characters, every list to 20 items, and
+    objects below the second level replaced; objects and lists both count as levels."""
+    keys = T.strings(V.AUDIT_REDACTED_KEYS)
 
     def scalar(value: Column) -> Column:
-        return F.when(kind(value) == "STRING", quoted(text_of(value))).otherwise(F.to_json(value))
+        text = F.try_variant_get(value, "$", "string")
+        cut = F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 197), F.lit("..."))).otherwise(text)
+        return F.when(_kind(value) == "STRING", _quoted(cut)).otherwise(F.to_json(value))
 
-    def leaf(value: Column) -> Column:
-        """A value at depth two: an object there is replaced, a list keeps its scalars."""
-        items = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 20)
-        listed = F.transform(
-            items, lambda x: F.when(kind(x).startswith("OBJECT"), quoted(F.lit(_TRUNCATED))).otherwise(scalar(x))
-        )
-        return (
-            F.when(kind(value).startswith("OBJECT"), quoted(F.lit(_TRUNCATED)))
-            .when(kind(value).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
-            .otherwise(scalar(value))
-        )
+    def clean(value: Column, depth: int) -> Column:
+        gone = _quoted(F.lit(_TRUNCATED))
 
-    def clean(entries: Column, inner) -> Column:
-        return F.transform(
-            F.map_entries(entries),
-            lambda e: F.concat(
-                quoted(e["key"]), F.lit(":"),
-                F.when(F.array_contains(keys, F.lower(e["key"])), quoted(F.lit("[redacted]"))).otherwise(inner(e["value"])),
-            ),
-        )
+        def entry(e: Column) -> Column:
+            hidden = F.array_contains(keys, F.lower(e["key"]))
+            shown = F.when(hidden, _quoted(F.lit("[redacted]"))).otherwise(clean(e["value"], depth + 1))
+            return F.concat(_quoted(e["key"]), F.lit(":"), shown)
 
-    def nested(value: Column) -> Column:
-        inner = F.concat(
-            F.lit("{"), F.array_join(clean(F.try_variant_get(value, "$", as_map), leaf), ","), F.lit("}")
-        )
-        return F.when(kind(value).startswith("OBJECT"), inner).otherwise(leaf(value))
+        whole = gone if depth >= 2 else _object(value, entry)
+        first = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 20)
+        listed = gone if depth >= _LEVELS else _list(first, lambda x: clean(x, depth + 1))
+        return F.when(_kind(value).startswith("OBJECT"), whole).when(_kind(value).startswith("ARRAY"), listed).otherwise(scalar(value))
 
-    top = F.try_variant_get(F.try_parse_json(payload), "$", as_map)
-    whole = F.concat(F.lit("{"), F.array_join(clean(top, nested), ","), F.lit("}"))
-    return F.coalesce(F.when(top.isNotNull(), whole), F.lit("{}"))
+    top = F.try_parse_json(payload)
+    return F.when(F.coalesce(_kind(top).startswith("OBJECT"), F.lit(False)), clean(top, 0)).otherwise("{}")
 
 
 def snake_case(key: Column) -> Column:
@@ -116,12 +114,35 @@ def snake_case(key: Column) -> Column:
 
 
 def log_redact(record: Column) -> Column:
-    """Flat JSON log record as a map: keys in snake case, values of sensitive keys hidden."""
+    """JSON log record as a map: keys in snake case, values of sensitive keys hidden at every level, in lists too.
+    A nested value is its JSON text, with keys in the order of their names."""
+    hidden = F.lit("[REDACTED]")
+
+    def sensitive(key: Column) -> Column:
+        return key.rlike(V.LOG_SENSITIVE_PATTERN)
+
+    def clean(value: Column, depth: int) -> Column:
+        if depth >= _LEVELS:
+            return F.when(_kind(value).rlike("^(OBJECT|ARRAY)"), _quoted(hidden)).otherwise(F.to_json(value))
+
+        def entry(e: Column) -> Column:
+            shown = F.when(sensitive(e["key"]), _quoted(hidden)).otherwise(clean(e["value"], depth + 1))
+            return F.concat(_quoted(snake_case(e["key"])), F.lit(":"), shown)
+
+        listed = _list(F.try_variant_get(value, "$", "array<variant>"), lambda x: clean(x, depth + 1))
+        return (
+            F.when(_kind(value).startswith("OBJECT"), _object(value, entry)).when(_kind(value).startswith("ARRAY"), listed)
+            .otherwise(F.to_json(value))
+        )
+
+    def top(value: Column) -> Column:
+        nested = _kind(value).rlike("^(OBJECT|ARRAY)")
+        return F.when(nested, clean(value, 1)).otherwise(F.try_variant_get(value, "$", "string"))
+
     entries = F.transform(
-        F.map_entries(F.from_json(record, "map<string,string>")),
+        F.map_entries(F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")),
         lambda e: F.struct(
-            snake_case(e["key"]).alias("key"),
-            F.when(e["key"].rlike(V.LOG_SENSITIVE_PATTERN), F.lit("[REDACTED]")).otherwise(e["value"]).alias("value"),
+            snake_case(e["key"]).alias("key"), F.when(sensitive(e["key"]), hidden).otherwise(top(e["value"])).alias("value")
         ),
     )
     return F.map_from_entries(entries)
