@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from groundwell.llm.common import MIX, _powers, bounded_batches, mixed, utf8
 
 LENGTH = 50
-GRAM = 20
+GRAM = 28
 #: an anchor lies at most so far behind the beginning of a string
 REACH = LENGTH - GRAM
 LAST = 2**63 - 1
@@ -22,7 +22,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, place, gram hash and the first and last string of each anchor.
 
-    The anchor of a string is the place of its 20-byte gram of smallest hash (the first of equals). It depends on the
+    The anchor of a string is the place of its 28-byte gram of smallest hash (the first of equals). It depends on the
     string alone, so equal strings have the same gram at the same distance. Strings with one anchor are neighbours.
     """
     sizes = np.diff(offsets)
@@ -36,7 +36,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     for step in (1, 2, 4, 8):
         key = np.minimum(key[:-step], key[step:])
-    key = np.minimum(key[: count], key[REACH + 1 - 16 : REACH + 1 - 16 + count])  # smallest of 31 grams
+    key = np.minimum(key[: count], key[REACH + 1 - 16 : REACH + 1 - 16 + count])  # smallest of 23 grams
     whole = np.zeros(len(data) + 1, np.int32)
     long = sizes >= LENGTH
     np.add.at(whole, offsets[:-1][long], 1)
@@ -158,6 +158,19 @@ def _suffixes(shared, bits: int):
     return run
 
 
+def _contexts(shared, bits: int):
+    """The distinct contexts of a batch with the smallest and largest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows = pa.Table.from_batches(list(_suffixes(shared, bits)(iter([whole]))), None) if whole.num_rows else None
+            if rows is not None and rows.num_rows:
+                found = rows.group_by(["gram", "left", "right"]).aggregate([("doc", "min"), ("doc", "max")]).select(["gram", "left", "right", "doc_min", "doc_max"])
+                yield from found.rename_columns(["gram", "left", "right", "doc", "top"]).to_batches(max_chunksize=20_000)
+
+    return run
+
+
 SUFFIXES = "gram long, left binary, right binary, doc long, row long, place long, most int, least int"
 
 
@@ -200,9 +213,12 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        gram, doc = table.column(0).to_numpy(), table.column(3).to_numpy()
-        masks = _induced(gram, table.column(1).to_pylist(), table.column(2).to_pylist(), doc)
-        return pa.RecordBatch.from_arrays([table.column(4), table.column(3), table.column(5), pa.array(masks)], ["context", "doc", "docs", "mask"])
+        gram, left, right = table.column(0).to_numpy(), table.column(1).to_pylist(), table.column(2).to_pylist()
+        same = [False, *(a == b and c == d for a, b, c, d in zip(left[1:], left, right[1:], right))]  # copies that other tasks have too
+        first = np.flatnonzero(~(np.array(same) & np.r_[False, gram[1:] == gram[:-1]]))
+        doc, top = np.minimum.reduceat(table.column(3).to_numpy(), first), np.maximum.reduceat(table.column(4).to_numpy(), first)
+        masks = _induced(gram[first], [left[i] for i in first], [right[i] for i in first], doc)
+        return pa.RecordBatch.from_arrays([table.column(5).take(pa.array(first)), pa.array(doc), pa.array(top > doc), pa.array(masks)], ["context", "first", "docs", "mask"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -249,7 +265,7 @@ def remove_repeats(docs: DataFrame, bits: int = 28) -> DataFrame:
 
     Suffixes are sorted sparsely. Each string has one anchor that depends on its bytes alone. Grams at anchors that no two
     documents share are dropped by a bitmap of 2^bits places, whose size is fixed (32 MB); it only spares work and loses
-    nothing. The suffixes at the other anchors, with equal contexts combined first, are sorted by Spark, which spills to
+    nothing. The suffixes at the other anchors, with equal contexts of a batch combined first, are sorted by Spark, which spills to
     disk; in that order neighbours carry their common prefixes, and the strings that begin before an anchor are induced
     from it byte by byte. The distinct contexts of one gram meet in one task.
     """
@@ -258,12 +274,12 @@ def remove_repeats(docs: DataFrame, bits: int = 28) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("row"))
     shared = spark.sparkContext.broadcast(shared_grams(rows, bits))
-    suffixes = rows.mapInArrow(_suffixes(shared, bits), SUFFIXES).withColumn("context", F.xxhash64("gram", "left", "right"))
-    contexts = suffixes.groupBy("gram", "left", "right").agg(F.min("doc").alias("doc"), F.max("doc").alias("top"))
-    contexts = contexts.withColumn("context", F.xxhash64("gram", "left", "right")).withColumn("docs", F.col("top") > F.col("doc"))
+    context = F.xxhash64("gram", "left", "right")
+    suffixes = rows.mapInArrow(_suffixes(shared, bits), SUFFIXES).withColumn("context", context)
+    contexts = rows.mapInArrow(_contexts(shared, bits), "gram long, left binary, right binary, doc long, top long").withColumn("context", context)
     induced = (
-        contexts.select("gram", "left", "right", "doc", "context", "docs").repartition("gram").sortWithinPartitions("gram", "right")
-        .mapInArrow(_induce, "context long, doc long, docs boolean, mask long").filter("docs OR mask != 0").withColumnRenamed("doc", "first")
+        contexts.repartition("gram").sortWithinPartitions("gram", "right", "left")
+        .mapInArrow(_induce, "context long, first long, docs boolean, mask long").filter("docs OR mask != 0")
     )
     # a copy of a context in a later document goes as a whole; in the first document only what the mask says
     all_of = F.expr("shiftleft(1L, most + 1) - shiftleft(1L, least)")
