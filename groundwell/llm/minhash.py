@@ -140,10 +140,32 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, similarity double")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, 1):
+            element, text, count = multisets(*shingles(*utf8(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(count, pa.int64())], ["node", "shingle", "n"])
+
+
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """Of texts(node, text): node, size (shingles), shared (those that some other of these texts has too).
+
+    No text of the table overlaps another one in more than the smaller `shared` of the two.
+    """
+    counted = settle(texts.select("node", "text").mapInArrow(_counted, "node binary, shingle long, n long"), "minhash-shingles")
+    alone = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.sum("n").alias("n")).filter("texts = 1").groupBy("node").agg(F.sum("n").alias("alone"))
+    sizes = counted.groupBy("node").agg(F.sum("n").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable over links(a, b), for every node that has one: (node, root). Alternating stars, written each round."""
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc-edges")
-    while True:
+    before = mark(edges)
+    while before[0]:
         # large star: each neighbour above u goes to the smallest neighbour of u (or u); small star: each node's smaller ones likewise
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -151,13 +173,21 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         done = settle(small, "cc-edges")
-        if done.exceptAll(edges).isEmpty() and edges.exceptAll(done).isEmpty():
+        edges, now = done, mark(done)
+        if now == before:
             break
-        edges = done
+        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 5, rounds: int = 2) -> DataFrame:
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of all links so far: roots stand for the earlier ones."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b").unionByName(links))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 5, rounds: int = 4) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id, class_size (rows), text_class, node (names the text).
 
     Two texts are linked when the multisets of their five-word shingles (words split at ASCII white space, A-Z as a-z)
@@ -190,27 +220,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
     links = compared.filter(F.col("similarity") >= similarity).select("a", "b")
     roots = components(links)
 
-    def across(step: int) -> DataFrame:
-        """Members of buckets that still hold several components, with their component and a leader drawn anew."""
-        rooted = members.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by(F.struct("b", "root"), F.xxhash64("b", F.lit(step))).alias("leader")).filter("x != y")
-        return rooted.join(several.select("key", "leader"), "key")
-
+    def across(rows: DataFrame, step: int) -> DataFrame:
+        """Members of buckets that still hold several components, with their component, and a leader drawn from the largest."""
+        rooted = rows.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+        parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("b", F.xxhash64("b", F.lit(step))).alias("leader"))
+        several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root", "leader")).alias("top")).filter("parts > 1")
+        return rooted.join(several.select("key", F.col("top.root").alias("top"), F.col("top.leader").alias("leader")), "key")
+
+    # from here on only nodes of such buckets that share enough with any other of them
+    far = across(members, 0)
+    sized = shared_sizes(texts.join(far.select(F.col("b").alias("node")).distinct(), "node", "left_semi")).filter(F.col("shared") >= similarity * F.col("size"))
+    members = settle(far.select("key", "a", "b").join(sized.withColumnRenamed("node", "b"), "b"), "minhash-members")
     for step in range(1, rounds):
-        more = across(step).filter("root != leader.root").select(F.least("b", "leader.b").alias("a"), F.greatest("b", "leader.b").alias("b")).distinct()
+        more = across(members, step).filter("root != top").select(F.least("b", "leader").alias("a"), F.greatest("b", "leader").alias("b")).distinct()
         fresh = settle(checked(more.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts), "minhash-checked")
-        links = links.unionByName(fresh.filter(F.col("similarity") >= similarity).select("a", "b"))
-        roots = components(links)
-    far = across(0).join(compared.select("a", "b", "similarity"), ["a", "b"], "left").select("key", "b", "root", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("d"))
-    left = settle(far, "minhash-left")
-    one, two = left.alias("one"), left.alias("two")
-    rest = (
-        one.join(two, F.expr(f"one.key = two.key AND one.b < two.b AND one.root != two.root AND abs(one.d - two.d) <= {1 - similarity} + 1e-9"))
-        .select(F.col("one.b").alias("a"), F.col("two.b").alias("b")).distinct()
+        roots = joined(roots, fresh.filter(F.col("similarity") >= similarity).select("a", "b"))
+    far = across(members, 0).join(compared.select("a", "b", "similarity"), ["a", "b"], "left")
+    keyed = members.groupBy("b").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # one entry a band at most
+    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("d")
+    left = settle(far.select("key", "b", "root", "size", "shared", distance).join(keyed, "b"), "minhash-left")
+    most = "least(one.shared, two.shared)"
+    may = (
+        f"one.key = two.key AND one.b < two.b AND one.root != two.root AND abs(one.d - two.d) <= {1 - similarity} + 1e-9 "
+        f"AND {most} >= {similarity} * (one.size + two.size - {most}) AND array_intersect(one.keys, two.keys)[0] = one.key"
     )
+    rest = left.alias("one").join(left.alias("two"), F.expr(may)).select(F.col("one.b").alias("a"), F.col("two.b").alias("b"))
+    rest = rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     fresh = settle(checked(rest, texts), "minhash-checked").filter(F.col("similarity") >= similarity).select("a", "b")
-    if not fresh.isEmpty():
-        roots = components(links.unionByName(fresh))
+    roots = joined(roots, fresh)
 
     classed = nodes.join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("text_class"))
     classes = classed.groupBy("text_class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
