@@ -148,7 +148,7 @@ class Chain:
         return np.column_stack(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, terms: int = 4000, folds: int = 5) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives: int = 5000, terms: int = 4000, folds: int = 5) -> Chain | None:
     """A chain fitted on a bounded sample of labelled documents; None if no label belongs to a document.
 
     The sample is the `positives` toxic and `negatives` other labelled documents of smallest hash of doc_id; the bounds hold
@@ -160,11 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
     # at most positives + negatives rows; of rows that repeat a doc_id the first text in order counts
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "quality").agg(F.min("text").alias("text")).orderBy("doc_id")
     sample = texts.toLocalIterator()
-    known, bags, shown, folded = [], [], [], []
+    known, bags, shown, folded, once = [], [], [], [], {}
     for r in sample:
         low = r["quality"] <= 0
         known.append((low, r["toxic"] > 0, low and r["toxic"] > 0))
-        bags.append(terms_of(r["text"]))
+        bags.append({once.setdefault(t, t) for t in terms_of(r["text"])})  # texts share their terms
         shown.append(r["text"])
         folded.append(zlib.crc32(str(r["doc_id"]).encode()) % folds)
     if not known:
