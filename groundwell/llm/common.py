@@ -62,7 +62,11 @@ _POWERS = {}
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    """base to the power 0, 1, ..., n - 1 modulo 2^64; kept between calls."""
+    """base to the power 0, 1, ..., n - 1 modulo 2^64; kept between calls up to 2^21 of them (16 MB)."""
+    if n > 1 << 21:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
     if base not in _POWERS or len(_POWERS[base]) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
