@@ -36,8 +36,7 @@ def _(c):
 
 
 def job_changes(c, label):
-    return J.latest(J.drain(J.job_state_stream(event_stream(c)), shared_dir(c.spark, label), "update")
-                    .filter("status <> 'RETRY_DUE'"), "job_id")
+    return J.latest(J.drain(J.job_state_stream(event_stream(c)), shared_dir(c.spark, label), "update"), "job_id")
 
 
 @query("t02_job_state_stream", """
@@ -57,10 +56,7 @@ def _(c):
     SELECT job_id, CASE s.status WHEN 'COMPLETED' THEN s.at + 3600000000 WHEN 'FAILED' THEN s.at + 86400000000
         WHEN 'DEAD_LETTER' THEN s.at + 86400000000 ELSE 0 END AS expires_us FROM job_fold""", _JOB_FOLD)
 def _(c):
-    kept = F.when(F.col("status") == "COMPLETED", J.COMPLETED_KEPT_S).when(
-        F.col("status").isin("FAILED", "DEAD_LETTER"), J.FAILED_KEPT_S)
-    expires = F.coalesce(F.col("changed_us") + kept.cast("long") * 1000000, F.lit(0).cast("long"))
-    return job_changes(c, "expiry").select("job_id", expires.alias("expires_us"))
+    return job_changes(c, "expiry").select("job_id", "expires_us")
 
 
 @query("t05_exactly_once_jobs", "SELECT event_id FROM events")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
@@ -51,7 +51,7 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 _STATE = "status string, attempts int, changed_us bigint"
-_CHANGE = "job_id bigint, status string, attempts int, changed_us bigint, retry_at_us bigint"
+_CHANGE = "job_id bigint, status string, attempts int, changed_us bigint, retry_at_us bigint, expires_us bigint"
 
 
 def _transition(status: str, attempts: int, event: str, max_attempts: int) -> tuple[str, int] | None:
@@ -69,15 +69,10 @@ def _transition(status: str, attempts: int, event: str, max_attempts: int) -> tu
 
 def _job_machine(max_attempts: int, backoff_ms: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, attempts, changed = state.get
-            if status != "WAITING":
-                state.remove()  # finished jobs are dropped after their keeping time
-            else:
-                state.update((status, attempts, changed))
-                yield pd.DataFrame({"job_id": [key[0]], "status": ["RETRY_DUE"], "attempts": [attempts],
-                                    "changed_us": [changed], "retry_at_us": [changed]})
-            return
+        def row(status: str, attempts: int, changed: int, retry: int, expires: int) -> pd.DataFrame:
+            return pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "changed_us": [changed],
+                                 "retry_at_us": [retry], "expires_us": [expires]})
+
         status, attempts, changed = state.get if state.exists else ("WAITING", 0, 0)
         # a job's events of one micro-batch, which the files per trigger bound
         events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
@@ -86,32 +81,34 @@ def _job_machine(max_attempts: int, backoff_ms: int):
             if moved is not None:
                 (status, attempts), changed = moved, int(at)
         state.update((status, attempts, changed))
-        retry = changed + backoff_ms * 2 ** max(0, attempts - 1) * 1000 if status == "WAITING" and attempts else 0
+        wait_ms = backoff_ms * 2 ** max(0, attempts - 1) if status == "WAITING" and attempts else 0
         kept = COMPLETED_KEPT_S if status == "COMPLETED" else FAILED_KEPT_S
-        due = (retry if retry else changed + kept * 1_000_000) // 1000
-        if status in V.JOB_TERMINAL or retry:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "changed_us": [changed],
-                            "retry_at_us": [retry]})
+        yield row(status, attempts, changed, changed + wait_ms * 1000 if wait_ms else 0,
+                  changed + kept * 1_000_000 if status in V.JOB_TERMINAL else 0)
 
     return run
 
 
 def job_state_stream(
     events: DataFrame, max_attempts: int = V.JOB_MAX_ATTEMPTS, backoff_ms: int = V.JOB_BACKOFF_MS,
-    delay: str = "10 minutes",
 ) -> DataFrame:
     """Current state per job after every batch, from a stream of (job_id, event_id, ts, event).
 
-    A waiting job carries the time its retry is due and emits RETRY_DUE when event time passes it; finished jobs
-    leave the state after an hour, failed ones after a day.
+    Every event counts, however late: no watermark drops it. A waiting job carries the time its retry is due; due_retries
+    reads the jobs whose time has come. A finished job keeps its mark for good, so a later start cannot revive it;
+    expires_us says until when its queue entry is kept: an hour after completion, a day after a failure.
     """
-    timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", delay)
+    timed = events.withColumn("ts_us", F.unix_micros("ts"))
     return timed.groupBy("job_id").applyInPandasWithState(
-        _job_machine(max_attempts, backoff_ms), _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout
+        _job_machine(max_attempts, backoff_ms), _CHANGE, _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
+def due_retries(changes: DataFrame, now: Column) -> DataFrame:
+    """Of the current states, the waiting jobs whose retry is due at `now` (a timestamp)."""
+    return changes.filter((F.col("status") == "WAITING") & (F.col("retry_at_us") > 0) & (F.col("retry_at_us") <= F.unix_micros(now)))
+
+
 def distinct_jobs(messages: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
     """Each job once, as long as repeats come within the watermark delay."""
     return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
