@@ -245,6 +245,20 @@ def test_leaks_verbatim_and_paraphrased(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_quotes_and_whole_items_with_more_items_than_rank(spark):
+    rng = np.random.default_rng(4)
+    fill = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 4)) for _ in range(n))
+    items = [(i, f"{fill(34)}. {fill(6)}.") for i in range(60)] + [(60, fill(7)), (61, fill(150))]
+    other = " ".join(t for _, t in items[40:60]).split()
+    mixed_words = lambda n: " ".join(rng.permutation(other)[:n])
+    rows = [(i, f"{mixed_words(45)} {t} {mixed_words(45)}") for i, t in items]  # whole items
+    rows += [(100 + i, f"{mixed_words(51)} {' '.join(t.split()[9:22])} {mixed_words(60)}") for i, t in items[:40]]  # 13 words of an item
+    rows += [(200 + i, f"{mixed_words(51)} {' '.join(t.split()[9:21])} {mixed_words(60)}") for i, t in items[:40]]  # one word less
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench, rank=8).collect()}
+    assert got == {(i, i) for i, _ in items} | {(100 + i, i) for i in range(40)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_lcs_and_run(a, b):
