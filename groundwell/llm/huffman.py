@@ -29,13 +29,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(file)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
         self.remembered, self.known = remembered, {}
-        split, *rest = json.loads(file)["pre_tokenizer"]["pretokenizers"]
+        content = json.loads(file)
+        split, *rest = content["pre_tokenizer"]["pretokenizers"]
         # white space is the Unicode property here, as in the tokenizer
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         if split["behavior"] != "Removed" or not split["invert"] or [x["type"] for x in rest] != ["ByteLevel"]:
             raise ValueError("the tokenizer does not split a text into independent words")
+        if any(t[k] for t in content["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
+            raise ValueError("the tokenizer has added tokens that are not plain strings of the text")
+        # added tokens are cut out of the text as it is, the longest first where several begin
+        self.added = {t["content"]: np.array([t["id"]], ID).tobytes() for t in content["added_tokens"]}
+        self.cuts = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, others follow from 256
         others = iter(range(256, 512))
         self.shown = {b: b if b in plain else next(others) for b in range(256)}
@@ -55,6 +60,11 @@ class WordTokenizer:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return b"".join([self.added[part] if part in self.added else self._words(part) for part in self.cuts.split(text)])
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
         text = text.lower() if text.isascii() else self.full.normalizer.normalize_str(text)
         known, new = self.known.get, self._new
         return b"".join([known(w) or new(w) for w in self.pattern.findall(text)])

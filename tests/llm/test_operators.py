@@ -216,6 +216,18 @@ def test_token_files_equal_the_library(odd, none, tmp_path):
     assert huffman.read_tokens(odd.sparkSession, str(tmp_path / "b")).count() == 0
 
 
+def test_added_tokens_in_a_text_get_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>It's<|endoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "e<|startoftext|>\u0301 \u00c9<|<|endoftext|>|>"]
+    huffman.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, str(tmp_path / "a"))
+    got = huffman.read_tokens(spark, str(tmp_path / "a")).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert np.frombuffer(got[0]["ids"], "<u4").tolist() == [3306, 49407, 1002, 2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=300), st.integers(6, 12))
 def test_huffman_round_trip_and_optimal_lengths(ids, limit):
