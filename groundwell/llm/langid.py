@@ -131,20 +131,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def drawn_windows(text: Column, most: int, window: int, *keys: Column) -> Column:
+    """The bytes of `most` windows of a text, all of them if it has no more: its windows are dealt into `most` stretches of
+    about equal length, and a hash of the text and the keys picks one of each."""
+    data = text.cast("binary")
+    count = F.ceil(F.octet_length(text) / window).cast("long")
+    drawn = F.least(count, F.lit(most).cast("long"))
+
+    def pick(j: Column) -> Column:
+        begin, end = F.floor(j * count / drawn), F.floor((j + 1) * count / drawn)
+        at = begin + F.pmod(F.xxhash64(text, *keys, j), end - begin)
+        return F.substring(data, (at * window + 1).cast("int"), F.lit(window))
+
+    return F.when(drawn > 0, F.transform(F.sequence(F.lit(0).cast("long"), drawn - 1), pick))
+
+
 def train(docs: DataFrame, rows: int = 4000, windows_a_text: int = 2, window: int = 256, seed: int = 7) -> ByteConv | None:
     """A model from the `rows` labelled rows of smallest hash that have a letter; None without any label.
 
-    `rows` bounds the sample whatever the size of the table; each row gives the first windows of its text. Rows of held-out
-    documents and rows without a language are not learned from. The sample does not depend on the partitioning.
+    `rows` bounds the sample whatever the size of the table; each row gives `windows_a_text` windows from all over its text
+    (see drawn_windows). Rows of held-out documents and rows without a language are not learned from. The sample does not depend on the partitioning.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    head = F.substring("text", 1, windows_a_text * window)
     picked = hash_sample(labelled.filter(has_letter(F.col("text"))), rows, "doc_id", "text", "lang")
-    sample = picked.select(head.alias("head"), "lang").collect()
+    drawn = drawn_windows(F.col("text"), windows_a_text, window, F.col("doc_id"), F.col("lang"))
+    sample = picked.select("lang", F.explode(drawn).alias("bytes")).collect()
     if not sample:
         return None
     labels = sorted({r["lang"] for r in sample})
-    data, offsets = utf8(pa.array([r["head"] for r in sample], pa.string()))
+    data, offsets = utf8(pa.array([r["bytes"] for r in sample], pa.binary()))
     starts, lengths, text = windows(data, offsets, window)
     y = np.array([labels.index(r["lang"]) for r in sample])[text]
     return ByteConv(labels, window=window, seed=seed).fit(cut(data, starts, lengths, window), y, seed=seed)

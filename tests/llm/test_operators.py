@@ -343,6 +343,25 @@ def test_language_held_out_accuracy(spark, odd, none):
     assert langid.identify(none, None).count() == 0 and langid.train(none) is None
 
 
+def test_language_is_learned_behind_a_common_header(spark):
+    rng = np.random.default_rng(6)
+    header = "This text may be copied and changed by anyone who keeps this notice. " * 10
+    rows = [(i, header + " ".join("".join(letters[int(c)] for c in rng.integers(0, 5, 5)) for _ in range(700)), lang) for i in range(240) for lang, letters in (("aa", "aeiou"), ("bb", "tnrsk")) if (i % 2 == 0) == (lang == "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter(langid.held_out(F.col("doc_id"))).toPandas()
+    assert len(got) > 40 and (got.lang == got.lang_pred).mean() > 0.95
+
+
+def test_training_windows_come_from_the_whole_text(spark):
+    texts = ["", "ab", "x" * 256 + "y", "é" * 300, "".join(f"{i:08d}" for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: [bytes(x) for x in r[1] or ()] for r in docs.select("doc_id", langid.drawn_windows(F.col("text"), 2, 256, F.col("doc_id"))).collect()}
+    cuts = {i: [t.encode()[a : a + 256] for a in range(0, len(t.encode()), 256)] for i, t in enumerate(texts)}
+    assert [got[i] for i in range(3)] == [cuts[i] for i in range(3)]
+    assert all(len(got[i]) == 2 and all(w in cuts[i] for w in got[i]) for i in (3, 4))
+    assert cuts[4].index(got[4][0]) < 6 <= cuts[4].index(got[4][1])
+
+
 def test_gradients_of_the_byte_network():
     model = langid.ByteConv(["a", "b"], embed=3, filters=2, window=12)
     model.params = {k: v.astype(float) for k, v in model.params.items()}
