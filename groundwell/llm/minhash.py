@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.common import MIX, bounded_batches, hash_words, keep_rows, mixed, settle, slices, utf8
@@ -256,6 +256,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """Rows of docs that stay: of each class the text of smallest doc_id (null last), once; all columns, unchanged."""
-    first = near_duplicates(docs).groupBy("text_class").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("node"))
-    return keep_rows(docs, F.upper(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)), first.select("node"), once=True)
+    """Rows of docs that stay: of each class the row of smallest doc_id (null last), once; all columns, unchanged."""
+    first = near_duplicates(docs).groupBy("text_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"))
+    node = F.upper(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+    def key(doc_id: Column, node: Column) -> Column:
+        return F.concat_ws(":", node, doc_id.cast("long"))
+
+    return keep_rows(docs, key(F.col("doc_id"), node), first.select(key(F.col("first.doc_id"), F.col("first.node")).alias("keep")), once=True)

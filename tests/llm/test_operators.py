@@ -306,6 +306,13 @@ def test_kept_rows_have_all_columns_once(odd):
     assert minhash.kept_rows(kept).columns == odd.columns
 
 
+def test_near_kept_rows_keeps_one_row_of_equal_texts(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words), (1, words + " end"), (2, words), (1, words + " end"), (None, "one"), (None, "one"), (8, "one"), (9, None), (None, "")]
+    got = minhash.kept_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, words + " end"), (8, "one"), (9, None)], key=str)
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------------
 def test_toxicity_chain_learns_and_leaves_clean_texts_alone(spark, odd, none):
     rng = np.random.default_rng(2)
