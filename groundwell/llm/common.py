@@ -132,7 +132,7 @@ def hash_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     if total > 4 * most:
         # twice the share, and a margin for chance: the smallest hashes lie below this bound all but certainly
         share = (2 * most + 200) / total
-        drawn = drawn.filter(F.col("__h") <= int(-(2**63) + share * 2**64))
+        drawn = drawn.filter(F.col("__h") <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
     return drawn.orderBy("__h", *keys).limit(most).drop("__h")
 
 
@@ -148,34 +148,3 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame, once: bool = False)
     again = docs.groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
     twice = F.col("doc_id").eqNullSafe(F.col("__again"))
     return out.join(again, twice, "left_anti").unionByName(out.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
-def parts_for(rows: int, per_part: int, least: int = 1) -> int:
-    """Partitions so that none gets more than about per_part rows."""
-    return max(least, math.ceil(rows / per_part))
-
-
-def hash_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
-    """The `most` rows of smallest hash of the keys. Rows are counted first, so that a task sends about its share of them and
-    not `most` rows each; the sample is the same however the rows are partitioned."""
-    total = rows.count()
-    drawn = rows.withColumn("__h", F.xxhash64(*keys))
-    if total > 4 * most:
-        # twice the share, and a margin for chance: the smallest hashes lie below this bound all but certainly
-        share = (2 * most + 200) / total
-        drawn = drawn.filter(F.col("__h") <= int(-(2**63) + share * 2**64))
-    return drawn.orderBy("__h", *keys).limit(most).drop("__h")
-
-
-def keep_documents(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of docs whose doc_id is in kept(keep_doc), null matching null; all columns of docs, unchanged.
-
-    once: of rows that repeat both doc_id and text one stays. Only repeated ids are shuffled for that.
-    """
-    ids = kept.select(F.col("keep_doc").alias("__keep")).distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep"]), "left_semi")
-    if not once:
-        return out
-    again = docs.groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
-    twice = out["doc_id"].eqNullSafe(again["__again"])
-    return out.join(again, twice, "left_anti").unionByName(out.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import bpe, decontam, exact, huffman, langid, licenses, minhash, repeats, shards, toxicity
+from groundwell.llm import bpe, decontam, exact, huffman, langid, licenses, merkle, minhash, repeats, shards, toxicity, vafile, winnow
 from groundwell.llm.common import documents, shared_dir
 
 
@@ -59,6 +59,18 @@ def op10_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_winnowing(spark: SparkSession, directory: str) -> DataFrame:
+    return winnow.edited_likeness(documents(spark, directory))
+
+
+def op12_vafile_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    return vafile.cluster_vectors(spark.read.parquet(f"{directory}/embeddings.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return merkle.manifest(documents(spark, directory), merkle.without_newlines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_shards": op2_shards,
@@ -70,5 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_winnowing": op11_winnowing,
+    "op12_vafile_clusters": op12_vafile_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op8_exact_dedup": exact.ORACLE, "op12_vafile_clusters": vafile.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
