@@ -11,6 +11,8 @@ from groundwell.functions import fixed_values as V
 from groundwell.functions import text as T
 from groundwell.operators import citations as X
 from groundwell.operators import entities
+from groundwell.plans import retrieve
+from groundwell.plans.views import AS_OF
 
 
 def _sq(text: str) -> str:
@@ -21,14 +23,19 @@ def prepared(c):
     return T.preprocess(c.questions)
 
 
+#: grounding sets that this application has written, by index
+_GROUND: dict[str, str] = {}
+
+
 def ground(c):
-    """A grounding set per question: six chunks of its knowledge base under a score made from the keys."""
-    key = F.col("doc_id") * 31 + F.col("chunk_no") * 17 + F.col("query_id") * 7
-    asked = c.questions.select("query_id", "kb_id", (F.col("query_id") % 3).alias("bucket"))
-    chunks = c.live_line_chunks.withColumn("bucket", F.col("doc_id") % 3)
-    rows = asked.join(chunks, ["kb_id", "bucket"]).withColumn("hybrid_score", (key % 97) / 97.0)
-    order = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.asc("chunk_id"))
-    return rows.withColumn("grounding_rank", F.row_number().over(order)).filter("grounding_rank <= 6").drop("bucket")
+    """The grounding set of every question: what retrieval found, duplicates out. Written once for a state of the tables."""
+    root = c.index.root
+    if root not in _GROUND:
+        _GROUND[root] = f"{root}-grounding"
+        found = retrieve.grounding(retrieve.retrieve(c.questions, c.question_vectors, c.index, F.lit(AS_OF).cast("timestamp")))
+        kept = [name for name in c.index.chunks.columns if name not in ("seq", "segment")]
+        found.select("query_id", *kept, "hybrid_score", F.col("rank_after_dedup").alias("grounding_rank")).write.mode("overwrite").parquet(_GROUND[root])
+    return c.spark.read.parquet(_GROUND[root])
 
 
 def answers(c):
@@ -50,9 +57,8 @@ def prepared_citations(c):
 
 VIEWS = {
     "ground": """
-        SELECT * FROM (SELECT q.query_id, c.*, ((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE) AS hybrid_score,
-            row_number() OVER (PARTITION BY q.query_id ORDER BY ((doc_id * 31 + chunk_no * 17 + query_id * 7) % 97 / 97.0::DOUBLE) DESC, chunk_id) AS grounding_rank
-          FROM v_question q JOIN v_live_chunk c ON c.kb_id = q.kb_id AND c.doc_id % 3 = q.query_id % 3) WHERE grounding_rank <= 6""",
+        SELECT c.*, r.query_id, r.hybrid_score, r.rank_after_dedup AS grounding_rank
+        FROM retrieved r JOIN v_live_chunk c ON c.chunk_id = r.chunk_id WHERE r.rank_after_dedup <= 6""",
     "answer": """
         SELECT query_id, concat_ws(' ', left(max(search_text) FILTER (grounding_rank = 1), 200), left(max(search_text) FILTER (grounding_rank = 2), 100)) AS answer_text
         FROM ground GROUP BY query_id""",

@@ -8,6 +8,7 @@ from groundwell.conformance.registry import query
 from groundwell.conformance.sqlviews import jaccard, term_set
 from groundwell.functions import text as T
 from groundwell.operators import dedup, hybrid, lexical, semantic
+from groundwell.operators.index import prefix_terms
 from groundwell.plans import retrieve as P
 from groundwell.plans.views import AS_OF, Corpus
 
@@ -21,11 +22,11 @@ def prepared(c: Corpus):
 
 
 def matches(c: Corpus):
-    return lexical.lexical_matches(lexical.query_clauses(prepared(c)), c.live_line_chunks)
+    return lexical.lexical_matches(lexical.query_clauses(prepared(c)), c.index)
 
 
 def semantic_top(c: Corpus):
-    return semantic.semantic_topk(c.question_vectors, c.chunk_vectors)
+    return semantic.semantic_topk(c.question_vectors, c.index)
 
 
 def merged(c: Corpus):
@@ -33,11 +34,12 @@ def merged(c: Corpus):
 
 
 def scored(c: Corpus):
-    return hybrid.score_candidates(merged(c), prepared(c), c.live_line_chunks, as_of())
+    found = P.candidates(prepared(c), c.question_vectors, c.index)
+    return hybrid.score_candidates(found, prepared(c), P.candidate_chunks(found, c.index), as_of())
 
 
 def retrieved(c: Corpus):
-    return P.retrieve(c.questions, c.question_vectors, c.live_line_chunks, c.chunk_vectors, as_of())
+    return P.retrieve(c.questions, c.question_vectors, c.index, as_of())
 
 
 def summary(c: Corpus):
@@ -76,8 +78,8 @@ def _(c):
 @query("r03_lexical_document", """
     SELECT chunk_id, unnest(words) AS term, unnest(generate_series(1, len(words))) AS position FROM d_words""")
 def _(c):
-    rows = lexical.lexical_document(c.live_line_chunks).select("chunk_id", F.posexplode("words").alias("p", "term"))
-    return rows.select("chunk_id", "term", (F.col("p") + 1).cast("long").alias("position"))
+    stored = c.index.postings.select("term", F.inline(F.arrays_zip("seqs", "positions"))).select("term", F.col("seqs").alias("seq"), F.explode("positions").alias("p"))
+    return stored.join(c.index.chunks.select("seq", "chunk_id"), "seq").select("chunk_id", "term", (F.col("p") + 1).cast("long").alias("position"))
 
 
 @query("r04_lexical_match_rank", """
@@ -130,7 +132,7 @@ def _(c):
         "question", F.when(F.col("query_id") % 3 == 0, F.lit(" ?! ")).otherwise(F.col("question"))
     )
     blank = T.preprocess(asked)
-    found = lexical.lexical_topk(lexical.lexical_matches(lexical.query_clauses(blank), c.live_line_chunks))
+    found = lexical.lexical_topk(lexical.lexical_matches(lexical.query_clauses(blank), c.index))
     counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
     return blank.join(counts, "query_id", "left").select(
         "query_id", "normalized_text", (F.col("normalized_text") == "").alias("is_empty"),
@@ -188,12 +190,9 @@ def _(c):
     FROM v_question_vector q JOIN v_chunk_vector c USING (kb_id, embedding_model, embedding_dim) GROUP BY q.kb_id""")
 def _(c):
     keys = ["kb_id", "embedding_model", "embedding_dim"]
-    sizes = semantic.block_plan(c.question_vectors, c.chunk_vectors, 64, 512)
     left = c.question_vectors.groupBy(keys).agg(F.count("*").alias("l"))
-    right = c.chunk_vectors.groupBy(keys).agg(F.count("*").alias("r"))
-    return left.join(right, keys).join(sizes, keys).select(
-        "kb_id", (F.col("l") * F.col("r")).alias("pairs"), F.col("chunk_blocks").cast("long")
-    )
+    right = semantic.block_counts(c.index.vectors, 64)
+    return left.join(right, keys).select("kb_id", (F.col("l") * F.col("n")).alias("pairs"), F.col("parts").cast("long").alias("chunk_blocks"))
 
 
 @query("j05_lexical_pairs", """
@@ -201,8 +200,7 @@ def _(c):
     JOIN (SELECT DISTINCT unnest(words) AS term FROM d_words) ON starts_with(term, p)""")
 def _(c):
     asked = lexical.query_clauses(prepared(c)).select(F.explode("word_clauses").alias("prefix"))
-    words = lexical.lexical_document(c.live_line_chunks).select(F.explode("words").alias("term"))
-    return lexical.prefix_dictionary(words, asked)
+    return prefix_terms(c.index, asked)
 
 
 @query("j06_candidate_merge", """

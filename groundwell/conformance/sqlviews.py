@@ -141,13 +141,13 @@ CTES: dict[str, str] = {
            AND kb_id IN (SELECT kb_id FROM v_kb WHERE status = 'ACTIVE')""",
     "v_chunk_vector": """
         SELECT c.*, e.embedding, 'mini-embed' AS embedding_model, len(e.embedding) AS embedding_dim
-        FROM v_live_chunk c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.chunk_no % 4 = 1""",
+        FROM v_live_chunk c JOIN embeddings e ON e.vec_id = (c.doc_id + c.chunk_no) % (SELECT count(*) FROM embeddings)""",
     "v_question": r"""
         SELECT query_id, kb_id, user_id, CASE WHEN query_id % 9 = 4 THEN q || '?' ELSE q END AS question,
                document_ids, languages
         FROM (SELECT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, 1 + item_id % 60 AS user_id,
                      CASE WHEN item_id % 5 = 0 THEN 'latest ' || body ELSE body END AS q,
-                     CASE WHEN item_id % 6 = 1 THEN generate_series(0, 299) ELSE [] END AS document_ids,
+                     CASE WHEN item_id % 6 = 1 THEN coalesce((SELECT list(doc_id ORDER BY doc_id) FROM (SELECT doc_id FROM documents d WHERE d.source = 'src' || (item_id % 20) ORDER BY doc_id LIMIT 20)), []) ELSE [] END AS document_ids,
                      CASE WHEN item_id % 4 = 0 THEN ['en', 'fr'] ELSE [] END AS languages
               FROM (SELECT *, CASE WHEN item_id % 2 = 1
                            THEN '"' || array_to_string(list_slice(w, 1, 2), ' ') || '" '

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from groundwell.conformance.entity_queries import _JOB_FOLD
+from groundwell.conformance.ingest_queries import OVERLAP, TARGET
+from groundwell.conformance.ingest_queries import VIEWS as _CHUNKS
 from groundwell.conformance.registry import query
 from groundwell.sources.tables import shared_dir
 from groundwell.streaming import jobs as J
@@ -26,44 +30,56 @@ def _(c):
     return out.groupBy("event").agg(F.count("*").alias("messages"))
 
 
-@query("t01_stream_ingest")
+@query("t01_stream_ingest", "SELECT doc_id, count(*) AS chunks, sum(token_count)::BIGINT AS tokens FROM chunk GROUP BY doc_id", _CHUNKS)
 def _(c):
     root = shared_dir(c.spark, "ingest")
     docs = J.table_stream(c.spark, c.directory, "documents").select("doc_id", F.col("doc_id").alias("version_id"), "text")
-    J.stream_ingest(docs, root, 120, 20)
-    return J.stored_chunks(c.spark, root).filter("is_live").groupBy("doc_id").agg(
+    J.stream_ingest(docs, root, TARGET, OVERLAP)
+    return J.stored_chunks(c.spark, root).groupBy("doc_id").agg(
         F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
-def job_changes(c, label):
-    return J.latest(J.drain(J.job_state_stream(event_stream(c)), shared_dir(c.spark, label), "update"), "job_id")
+def job_changes(c, label, done=J.idle, **options):
+    root = shared_dir(c.spark, label)
+    return J.run_until(J.job_state_stream(event_stream(c), **options), root, done), root
 
 
 @query("t02_job_state_stream", """
     SELECT job_id, s.status AS status, s.attempts::BIGINT AS attempts, s.at AS changed_us FROM job_fold""", _JOB_FOLD)
 def _(c):
-    return job_changes(c, "state").select("job_id", "status", F.col("attempts").cast("long"), "changed_us")
+    changes, _ = job_changes(c, "state")
+    return J.latest(changes, "job_id").select("job_id", "status", F.col("attempts").cast("long"), "changed_us")
 
 
 @query("t03_retry_timer", """
-    SELECT job_id, CASE WHEN s.status = 'WAITING' AND s.attempts > 0
-        THEN (s.at + 5000000 * power(2, greatest(0, s.attempts - 1)))::BIGINT ELSE 0 END AS retry_at_us FROM job_fold""", _JOB_FOLD)
+    SELECT job_id, s.attempts::BIGINT AS attempts, s.at AS changed_us FROM job_fold WHERE s.status = 'WAITING' AND s.attempts > 0""", _JOB_FOLD)
 def _(c):
-    return job_changes(c, "retry").select("job_id", "retry_at_us")
+    # the clock runs faster than in production, so that the query ends; delays still double with every attempt
+    root = shared_dir(c.spark, "retry")
+    stream = J.job_state_stream(event_stream(c), backoff_ms=200)
+
+    def all_emitted(query):
+        return J.idle(query) and J.waiting(c.spark.read.parquet(f"{root}/out")).isEmpty()
+
+    changes = J.run_until(stream, root, all_emitted)
+    return J.due_retries(changes).select("job_id", F.col("attempts").cast("long"), "changed_us")
 
 
 @query("t04_completed_job_expiry", """
-    SELECT job_id, CASE s.status WHEN 'COMPLETED' THEN s.at + 3600000000 WHEN 'FAILED' THEN s.at + 86400000000
-        WHEN 'DEAD_LETTER' THEN s.at + 86400000000 ELSE 0 END AS expires_us FROM job_fold""", _JOB_FOLD)
+    SELECT job_id, s.status IN ('COMPLETED', 'FAILED', 'DEAD_LETTER') AS finished, s.status NOT IN ('COMPLETED', 'FAILED', 'DEAD_LETTER') AS kept
+    FROM job_fold""", _JOB_FOLD)
 def _(c):
-    return job_changes(c, "expiry").select("job_id", "expires_us")
+    # entries are kept for a second here, so that all of them have expired when the state is read
+    changes, root = job_changes(c, "expiry", completed_s=1, failed_s=1)
+    time.sleep(1.5)
+    return J.kept_entries(c.spark, root)
 
 
 @query("t05_exactly_once_jobs", "SELECT event_id FROM events")
 def _(c):
     once = event_stream(c).select("event_id", "ts")
     twice = once.unionByName(event_stream(c).select("event_id", "ts"))
-    return J.drain(J.distinct_jobs(twice, "event_id"), shared_dir(c.spark, "once")).select("event_id")
+    return J.distinct_jobs(twice, shared_dir(c.spark, "once"), "event_id").select("event_id")
 
 
 @query("t06_metrics_stream", """

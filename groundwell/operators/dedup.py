@@ -42,15 +42,14 @@ def duplicate_reason(kept: Column, other: Column) -> Column:
 
 
 def suppress_duplicates(ranked: DataFrame) -> DataFrame:
-    """Greedy in rank order: add `dedup_reason` (null when kept) and `rank_after_dedup`."""
+    """Greedy in rank order: add `dedup_reason` (null when kept) and `rank_after_dedup`. A question's rows meet once, in one array."""
     rows = ranked.withColumn("structural_hits", F.size("structural_signals"))
-    item = F.struct(*_FOLDED)
     item_type = "struct<" + ",".join(
         f"{f.name}:{f.dataType.simpleString()}" for f in rows.select(*_FOLDED).schema
     ) + ">"
-    ordered = F.array_sort(F.collect_list(item))
 
-    def step(state: Column, candidate: Column) -> Column:
+    def step(state: Column, row: Column) -> Column:
+        candidate = F.struct(*[row[c].alias(c) for c in _FOLDED])
         hit = F.get(F.filter(state["kept"], lambda k: duplicate_reason(k, candidate).isNotNull()), F.lit(0))
         reason = duplicate_reason(hit, candidate)
         return F.struct(
@@ -61,34 +60,31 @@ def suppress_duplicates(ranked: DataFrame) -> DataFrame:
     start = F.struct(
         F.array().cast(f"array<{item_type}>").alias("kept"), F.array().cast("array<string>").alias("reasons")
     )
-    folded = rows.groupBy("query_id").agg(ordered.alias("items")).select(
+    others = [c for c in ranked.columns if c not in ("query_id", "rank_before_dedup")]
+    items = F.array_sort(F.collect_list(F.struct("rank_before_dedup", *others, "structural_hits")))
+    folded = rows.groupBy("query_id").agg(items.alias("items")).select(
         "query_id", "items", F.aggregate("items", start, step, lambda s: s["reasons"]).alias("reasons")
     )
-    verdicts = folded.select(
-        "query_id", F.inline(F.arrays_zip(
-            F.transform("items", lambda x: x["chunk_id"]).alias("chunk_id"), F.col("reasons").alias("reason")
-        ))
-    )
-    kept_order = Window.partitionBy("query_id", F.col("reason") == "").orderBy("rank_before_dedup")
-    return (
-        rows.drop("structural_hits").join(verdicts, ["query_id", "chunk_id"])
-        .withColumn("rank_after_dedup", F.when(F.col("reason") == "", F.row_number().over(kept_order)))
-        .withColumn("dedup_reason", F.nullif("reason", F.lit(""))).drop("reason")
-    )
+
+    def judged(x: Column, i: Column) -> Column:
+        reason = F.get("reasons", i)
+        kept = F.size(F.filter(F.slice("reasons", F.lit(1), i + 1), lambda r: r == ""))
+        return F.struct(
+            *[x[c].alias(c) for c in ["rank_before_dedup", *others]], F.when(reason == "", kept).alias("rank_after_dedup"),
+            F.nullif(reason, F.lit("")).alias("dedup_reason"),
+        )
+
+    return folded.select("query_id", F.inline(F.transform("items", judged)))
 
 
 def near_duplicate_pairs(chunks: DataFrame, threshold: float = V.NEAR_DUP_JACCARD) -> DataFrame:
-    """Neighbouring chunks of one version with almost the same terms: an equality join on the next number."""
-    left = chunks.select(
-        "version_id", F.col("chunk_id").alias("left_id"), (F.col("chunk_no") + 1).alias("chunk_no"),
-        T.terms(F.col("search_text")).alias("left_terms"),
-    )
-    right = chunks.select(
-        "version_id", F.col("chunk_id").alias("right_id"), "chunk_no",
-        T.terms(F.col("search_text")).alias("right_terms"),
-    )
-    overlap = S.jaccard(F.col("left_terms"), F.col("right_terms"))
+    """Neighbouring chunks of one version with almost the same terms. Terms are made once and before the shuffle; a chunk meets the
+    one that follows it, and only if that has the next number."""
+    own = chunks.select("version_id", "chunk_no", F.col("chunk_id").alias("left_id"), T.terms(F.col("search_text")).alias("left_terms"))
+    following = Window.partitionBy("version_id").orderBy("chunk_no", "left_id")
+    paired = own.withColumn("after", F.lead(F.struct("chunk_no", F.col("left_id").alias("right_id"), F.col("left_terms").alias("right_terms"))).over(following))
+    overlap = S.jaccard(F.col("left_terms"), F.col("after.right_terms"))
     return (
-        left.join(right, ["version_id", "chunk_no"]).withColumn("jaccard", overlap)
-        .filter(F.col("jaccard") >= threshold).select("version_id", "left_id", "right_id", "jaccard")
+        paired.filter(F.col("after.chunk_no") == F.col("chunk_no") + 1).withColumn("jaccard", overlap)
+        .filter(F.col("jaccard") >= threshold).select("version_id", "left_id", "after.right_id", "jaccard")
     )

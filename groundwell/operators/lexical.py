@@ -1,21 +1,24 @@
-"""Full-text candidates: prefix clauses of a question matched against the positions of a chunk.
+"""Full-text candidates: prefix clauses of a question matched against stored postings.
 
-A query word matches every corpus word it is a prefix of. The match is resolved once per distinct
-word (a dictionary small against the corpus), as an equality join on prefixes; positions are then
-joined on (knowledge base, word, salt), so that a hot word or a hot knowledge base is spread over
-`salts` tasks and the counts are combined before they are shuffled.
+A query word matches every corpus word it is a prefix of. The match is resolved once per distinct word, as an interval of
+the sorted dictionary. Postings are then joined on (knowledge base, part, term): a part holds a bounded number of chunks, so a
+hot word or a hot knowledge base is many keys. Counts are added up before any column of a chunk is read, and phrases
+are checked on positions; no text is read at all.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import fixed_values as V
 from groundwell.functions import text as T
 from groundwell.operators import scope
+from groundwell.operators.index import ChunkIndex, chunk_keys, scoped_terms
+from groundwell.sources.tables import settle
 
-PREFIX_KEY = 32
 RANK_PER_POSITION = 0.1
 
 
@@ -37,106 +40,76 @@ def query_clauses(prepared: DataFrame) -> DataFrame:
     )
 
 
-def lexical_document(chunks: DataFrame) -> DataFrame:
-    """Add `words`, the positions of the searchable text of a chunk."""
-    text = F.concat_ws(
-        " ", "search_text", F.coalesce("section_title", F.lit("")),
-        F.coalesce("source_title", F.lit("")), "document_title",
-    )
-    return chunks.withColumn("words", T.words_by_position(text))
-
-
-def prefix_dictionary(words: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(prefix, term) for every distinct `term` of `words` that starts with a `prefix` of `prefixes`.
-
-    Terms are exploded into their own prefixes, so this is an equality join; query words longer than
-    PREFIX_KEY meet on their first PREFIX_KEY characters and are then compared in full.
-    """
-    lengths = F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX_KEY)))
-    keyed_terms = words.select("term").distinct().select(
-        "term", F.explode(lengths).alias("n")
-    ).select("term", F.expr("substring(term, 1, n)").alias("key"))
-    keyed_prefixes = prefixes.select("prefix").distinct().withColumn("key", F.substring("prefix", 1, PREFIX_KEY))
-    return (
-        keyed_prefixes.join(keyed_terms, "key")
-        .filter(F.startswith("term", "prefix"))
-        .select("prefix", "term")
-    )
-
-
-def _salt(column: str, salts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int").alias("salt")
-
-
-def _spread(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-_CARRIED = ["doc_id", "language", "indexed_at"]
-
-
-def lexical_matches(clauses: DataFrame, chunks: DataFrame, salts: int = 8) -> DataFrame:
-    """(query_id, chunk_id, matched_positions, lexical_raw) for every chunk matching a clause.
+def _wanted(clauses: DataFrame) -> DataFrame:
+    """One row per question and prefix: of a word clause (`clause` is null), or the place `at` in a phrase of `size` words."""
+    asked = clauses.select("query_id", "kb_id", "word_clauses", "phrase_clauses")
+    none = F.lit(None).cast("int")
+    by_word = asked.select("query_id", "kb_id", F.explode("word_clauses").alias("prefix")).select("*", none.alias("clause"), none.alias("at"), none.alias("size"))
+    phrases = asked.select("query_id", "kb_id", F.posexplode("phrase_clauses").alias("clause", "words"))
+    by_phrase = phrases.select("query_id", "kb_id", "clause", F.size("words").alias("size"), F.posexplode("words").alias("at", "prefix"))
+    return by_word.unionByName(by_phrase)
+
+
+def _phrase_starts(rows: pa.Table) -> pa.Table:
+    """How many positions of each chunk begin a phrase of one question and are not counted as words, within one part."""
+    begins: list[np.ndarray] = []
+    rows = rows.combine_chunks()
+    empty = pa.schema([("query_id", rows.schema.field("query_id").type), ("seq", pa.int64()), ("hits", pa.int64())])
+    clause, at, size, counted = (rows[c].to_numpy(zero_copy_only=False) for c in ("clause", "at", "size", "word_hit"))
+    seqs, positions = (rows[c].chunk(0) if rows.num_rows else None for c in ("seqs", "positions"))
+    if not rows.num_rows:
+        return empty.empty_table()
+    row_of = np.repeat(np.arange(rows.num_rows), np.diff(seqs.offsets.to_numpy()))  # of each chunk of a posting
+    chunk, chunk_of = np.unique(seqs.flatten().to_numpy(), return_inverse=True)
+    spots = positions.flatten()
+    sizes = np.diff(spots.offsets.to_numpy())
+    cell_of, place = np.repeat(np.arange(len(sizes)), sizes), spots.flatten().to_numpy().astype(np.int64)
+    width = np.int64(place.max() + 1 + size.max())
+    row_of, key = row_of[cell_of], chunk_of[cell_of] * width + place
+    for c in np.unique(clause):
+        words = int(size[clause == c][0])
+        found = None
+        for j in range(words):
+            rows_j = (clause == c) & (at == j)
+            if j == 0:
+                rows_j = rows_j & ~counted
+            keys = key[rows_j[row_of]] - j
+            found = np.unique(keys) if found is None else np.intersect1d(found, keys)
+        begins.append(found)
+    hits, count = np.unique(np.unique(np.concatenate(begins)) // width, return_counts=True)
+    return pa.table({"query_id": pa.array([rows["query_id"][0].as_py()] * len(hits), empty.field("query_id").type), "seq": chunk[hits], "hits": count}, schema=empty)
+
+
+def lexical_matches(clauses: DataFrame, index: ChunkIndex) -> DataFrame:
+    """(query_id, chunk_id, indexed_at, matched_positions, lexical_raw) for every chunk matching a clause.
 
     A position counts once per question, whether a word clause or a phrase start hits it.
     """
-    docs = lexical_document(chunks).select("kb_id", "chunk_id", *_CARRIED, "words")
-    positions = docs.select(
-        "kb_id", "chunk_id", *_CARRIED, F.explode("words").alias("term"), _salt("chunk_id", salts)
-    )
-    asked = clauses.select(
-        "query_id", "kb_id", "document_ids", "languages", "word_clauses", "phrase_clauses"
-    )
-    by_word = asked.select("*", F.explode("word_clauses").alias("prefix")).withColumn("phrase_start", F.lit(False))
-    by_phrase = asked.select("*", F.explode("phrase_clauses").alias("clause")).select(
-        *asked.columns, F.col("clause")[0].alias("prefix"), F.lit(True).alias("phrase_start")
+    clauses = settle(clauses.select("query_id", "kb_id", "document_ids", "languages", "word_clauses", "phrase_clauses"), "clauses")
+    wanted = _wanted(clauses)
+    resolved = settle(wanted.join(scoped_terms(index, wanted), ["kb_id", "prefix"]), "resolved")
+    words = resolved.filter("clause IS NULL").select("query_id", "kb_id", "part", "term").distinct()
+    by_word = (
+        index.postings.select("kb_id", "part", "term", "seqs", "counts").join(words, ["kb_id", "part", "term"])
+        .select("query_id", F.inline(F.arrays_zip("seqs", "counts"))).groupBy("query_id", F.col("seqs").alias("seq")).agg(F.sum("counts").alias("hits"))
     )
-    wanted = by_word.unionByName(by_phrase)
-    dictionary = prefix_dictionary(positions, wanted)
-    scoped = (
-        wanted.select("query_id", "kb_id", "document_ids", "languages", "prefix", "phrase_start")
-        .join(dictionary, "prefix")
-        .groupBy("query_id", "kb_id", "term", "document_ids", "languages")
-        .agg(
-            F.bool_or(~F.col("phrase_start")).alias("word_hit"),
-            F.bool_or("phrase_start").alias("phrase_start"),
-        )
+    phrases = resolved.filter("clause IS NOT NULL").join(clauses.select("query_id", "word_clauses"), "query_id").withColumn(
+        "word_hit", F.exists("word_clauses", lambda p: F.startswith("term", p)))
+    id_type = clauses.schema["query_id"].dataType.simpleString()
+    by_phrase = (
+        index.postings.select("kb_id", "part", "term", "seqs", "positions").join(phrases, ["kb_id", "part", "term"])
+        .select("query_id", "part", "clause", "at", "size", "word_hit", "seqs", "positions")
+        .groupBy("query_id", "part").applyInArrow(_phrase_starts, f"query_id {id_type}, seq long, hits long")
     )
-    joined = (
-        positions.join(_spread(scoped, salts), ["kb_id", "term", "salt"])
-        .filter(scope.filter_match())
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.count_if("word_hit").alias("word_positions"),
-            F.bool_or("phrase_start").alias("may_hold_phrase"),
-            F.max("indexed_at").alias("indexed_at"),
-        )
-    )
-    phrased = asked.filter(F.size("phrase_clauses") > 0).select("query_id", _phrase_pattern().alias("pattern"))
-    # only rows that may hold a phrase fetch their words; the others get a key that matches no chunk, which
-    # keeps them spread where a null key would send them all to one task
-    fetch = F.when(F.col("may_hold_phrase"), F.col("chunk_id")).otherwise(F.concat(F.lit("-"), "chunk_id"))
-    words = docs.select(F.col("chunk_id").alias("fetch"), F.concat(F.lit(" "), F.array_join("words", " ")).alias("line"))
-    phrase_positions = F.coalesce(F.regexp_count(F.col("line"), F.col("pattern")), F.lit(0))
-    hits = (F.col("word_positions") + phrase_positions).alias("matched_positions")
+    hits = by_word.unionByName(by_phrase).groupBy("query_id", "seq").agg(F.sum("hits").alias("matched_positions"))
     return (
-        joined.withColumn("fetch", fetch).join(words, "fetch", "left").join(phrased, "query_id", "left")
-        .select("query_id", "chunk_id", "indexed_at", hits)
-        .filter("matched_positions > 0")
+        hits.join(chunk_keys(index), "seq").join(clauses.select("query_id", "document_ids", "languages"), "query_id")
+        .filter(scope.filter_match())
+        .select("query_id", "chunk_id", "indexed_at", "matched_positions")
         .withColumn("lexical_raw", F.col("matched_positions") * RANK_PER_POSITION)
     )
 
 
-def _phrase_pattern() -> Column:
-    """A look-ahead that holds where a phrase starts and no word clause matches (those are counted already).
-    Clauses hold letters and digits only, so they need no escaping."""
-    phrases = F.array_join(F.transform("phrase_clauses", lambda c: F.array_join(c, "[^ ]* ")), "|")
-    counted = F.when(
-        F.size("word_clauses") > 0, F.concat(F.lit("(?!"), F.array_join("word_clauses", "|"), F.lit(")"))
-    ).otherwise(F.lit(""))
-    return F.concat(F.lit("(?= "), counted, F.lit("(?:"), phrases, F.lit("))"))
-
-
 def lexical_topk(matches: DataFrame, k: int = V.CANDIDATE_LIMIT) -> DataFrame:
     """The k best matches per question; a question without clauses has no rows."""
     order = Window.partitionBy("query_id").orderBy(

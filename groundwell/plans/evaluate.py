@@ -9,6 +9,7 @@ from groundwell.functions import fixed_values as V
 from groundwell.functions import text as T
 from groundwell.operators import citations as X
 from groundwell.operators import evaluation as E
+from groundwell.operators.index import ChunkIndex
 from groundwell.plans import retrieve as R
 from groundwell.sources.tables import settle
 
@@ -19,13 +20,13 @@ _KEPT = [
 
 
 def execute_cases(
-    cases: DataFrame, question_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, as_of: Column, run_id: str,
+    cases: DataFrame, question_vectors: DataFrame, index: ChunkIndex, as_of: Column, run_id: str,
     candidate_limit: int = V.CANDIDATE_LIMIT, grounding_limit: int = V.GROUNDING_LIMIT,
 ) -> DataFrame:
     """Run every case (query_id, kb_id, question, filters, expectations): one scored-to-be item per case.
     Candidates and answers are written once to the shared folder, because later steps read them several times."""
     found = settle(
-        R.retrieve(cases, question_vectors, chunks, vectors, as_of, candidate_limit, candidate_limit).select(*_KEPT),
+        R.retrieve(cases, question_vectors, index, as_of, candidate_limit, candidate_limit).select(*_KEPT),
         "retrieved",
     )
     ground = R.grounding(found, grounding_limit).select(
@@ -33,7 +34,7 @@ def execute_cases(
         "page_number", "document_title", "hybrid_score", F.col("rank_after_dedup").alias("grounding_rank"),
     )
     prepared = T.preprocess(cases)
-    counts = chunks.groupBy("kb_id").agg(F.count("*").alias("indexed_chunks"))
+    counts = index.chunks.groupBy("kb_id").agg(F.count("*").alias("indexed_chunks"))
     gated = R.answer_gate(R.retrieval_summary(cases, found, grounding_limit), counts, eval_rule=True)
     answers = settle(X.compose_answers(prepared, ground), "answers")
     asked = answers.filter("status = 'grounded'").select("query_id", F.col("answer").alias("answer_text"), "used_chunk_ids")

@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from groundwell.functions import fixed_values as V
 from groundwell.functions import text as T
 from groundwell.operators import dedup, hybrid, lexical, semantic
+from groundwell.operators.index import ChunkIndex
+from groundwell.sources.tables import settle
+
+
+def candidates(
+    prepared: DataFrame, question_vectors: DataFrame, index: ChunkIndex, candidate_limit: int = V.CANDIDATE_LIMIT,
+) -> DataFrame:
+    """Merged candidates of every question, ids and scores only: written, because their size decides how chunks are fetched."""
+    by_words = lexical.lexical_topk(lexical.lexical_matches(lexical.query_clauses(prepared), index), candidate_limit)
+    by_vector = semantic.semantic_topk(question_vectors, index, candidate_limit)
+    return settle(hybrid.merge_candidates(by_vector, by_words), "candidates")
+
+
+def candidate_chunks(merged: DataFrame, index: ChunkIndex) -> DataFrame:
+    """The chunks that are a candidate of some question. Others drop out where they are read, before any text is shuffled."""
+    return index.chunks.join(merged.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
 def retrieve(
-    questions: DataFrame, question_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, as_of: Column,
+    questions: DataFrame, question_vectors: DataFrame, index: ChunkIndex, as_of: Column,
     candidate_limit: int = V.CANDIDATE_LIMIT, rerank_limit: int = V.RERANK_LIMIT,
 ) -> DataFrame:
-    """Ranked candidates of every question, duplicates marked. One lazy plan for the whole table."""
-    prepared = T.preprocess(questions)
-    clauses = lexical.query_clauses(prepared)
-    by_words = lexical.lexical_topk(lexical.lexical_matches(clauses, chunks), candidate_limit)
-    by_vector = semantic.semantic_topk(question_vectors, vectors, candidate_limit)
-    merged = hybrid.merge_candidates(by_vector, by_words)
-    scored = hybrid.score_candidates(merged, prepared, chunks, as_of)
+    """Ranked candidates of every question, duplicates marked."""
+    prepared = settle(T.preprocess(questions), "prepared")
+    merged = candidates(prepared, question_vectors, index, candidate_limit)
+    scored = hybrid.score_candidates(merged, prepared, candidate_chunks(merged, index), as_of)
     return dedup.suppress_duplicates(hybrid.rerank(scored, rerank_limit))
 
 

@@ -3,13 +3,20 @@ chunks, questions, jobs, metrics. Every registered query reads these."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import text as T
+from groundwell.operators.index import ChunkIndex, add_segment
+from groundwell.operators.semantic import add_vectors
+from groundwell.sources.tables import shared_dir
 
+#: documents a request may name in its filter
+FILTER_IDS = 20
 AS_OF = "2024-06-01 00:00:00"
 MODEL = "mini-embed"
+#: folders of indexes that this application has written, by application, directory and state of the files
+_INDEXES: dict[tuple, str] = {}
 
 
 class Corpus:
@@ -20,10 +27,16 @@ class Corpus:
         self.spark = spark
         self.directory = directory
         self._tables: dict[str, DataFrame] = {}
+        self._index: ChunkIndex | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+            rows = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+            # a table in fewer pieces than there are cores is dealt out before text is worked on; larger ones are read as they lie
+            cores = self.spark.sparkContext.defaultParallelism
+            if name == "documents" and rows.rdd.getNumPartitions() * 2 <= cores:
+                rows = rows.repartition(cores)
+            self._tables[name] = rows
         return self._tables[name]
 
     @property
@@ -155,15 +168,40 @@ class Corpus:
         return self.line_chunks.filter("document_status = 'INDEXED'").join(active, "kb_id", "left_semi")
 
     @property
-    def chunk_vectors(self) -> DataFrame:
-        """Every fourth line of a document carries the document's vector."""
-        vectors = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    def index(self) -> ChunkIndex:
+        """The stored index over the live line chunks and their vectors: written once by this application for a state of the tables."""
+        if self._index is not None:
+            return self._index
+        key = (self.spark.sparkContext.applicationId, self.directory, self._state("documents"), self._state("embeddings"))
+        if key not in _INDEXES:
+            root = shared_dir(self.spark, "chunk-index")
+            index = add_segment(self.live_line_chunks, root)
+            add_vectors(self._with_vectors(index.chunks), root)
+            _INDEXES[key] = root
+        self._index = ChunkIndex(self.spark, _INDEXES[key])
+        return self._index
+
+    def _state(self, name: str) -> tuple:
+        """Size and newest change of a table's files, read from their listing."""
+        files = self.spark.read.parquet(f"{self.directory}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        row = files.agg(F.count("*").alias("n"), F.sum("file_size").alias("b"), F.max("file_modification_time").alias("t")).first()
+        return row["n"], row["b"], str(row["t"])
+
+    def _with_vectors(self, chunks: DataFrame) -> DataFrame:
+        """Every chunk with a vector: the given vectors are dealt over the chunks by document and place."""
+        vectors = self.table("embeddings").select(F.col("vec_id").alias("dealt"), "embedding")
+        given = self.table("embeddings").agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).first()["n"]
         return (
-            self.live_line_chunks.filter("chunk_no % 4 = 1").join(vectors, "doc_id")
+            chunks.withColumn("dealt", (F.col("doc_id") + F.col("chunk_no")) % given).join(vectors, "dealt").drop("dealt")
             .withColumn("embedding_model", F.lit(MODEL))
             .withColumn("embedding_dim", F.size("embedding"))
         )
 
+    @property
+    def chunk_vectors(self) -> DataFrame:
+        """Live line chunks, each with a vector."""
+        return self._with_vectors(self.live_line_chunks)
+
     @property
     def questions(self) -> DataFrame:
         item = F.col("item_id")
@@ -175,10 +213,17 @@ class Corpus:
         body = F.when(item % 2 == 1, quoted).otherwise(F.col("text"))
         question = F.when(item % 5 == 0, F.concat(F.lit("latest "), body)).otherwise(body)
         no_ids = F.array().cast("array<bigint>")
-        ids = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda x: x.cast("long"))
-        return self.table("benchmark").select(
+        # a filter names the first documents of its knowledge base, as many as a request may
+        first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+        named = (
+            self.table("documents").select("source", "doc_id").withColumn("nth", first).filter(F.col("nth") <= FILTER_IDS)
+            .groupBy(F.col("source").alias("kb_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+        )
+        ids = F.coalesce("ids", no_ids)
+        asked = self.table("benchmark").withColumn("kb_id", F.concat(F.lit("src"), (item % 20).cast("string")))
+        return asked.join(named, "kb_id", "left").select(
             item.alias("query_id"),
-            F.concat(F.lit("src"), (item % 20).cast("string")).alias("kb_id"),
+            "kb_id",
             (1 + item % 60).alias("user_id"),
             F.when(item % 9 == 4, F.concat(question, F.lit("?"))).otherwise(question).alias("question"),
             F.when(item % 6 == 1, ids).otherwise(no_ids).alias("document_ids"),

@@ -6,13 +6,15 @@ repeated batch overwrites itself, and bounds a batch by `maxFilesPerTrigger`.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from groundwell.functions import fixed_values as V
 from groundwell.plans import ingest
@@ -20,6 +22,13 @@ from groundwell.sources.tables import TABLE_SCHEMAS
 
 COMPLETED_KEPT_S = 3600
 FAILED_KEPT_S = 86400
+#: state variables with timers and a time to live need this store
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with(schema: StructType, *numbers: str) -> StructType:
+    """A schema and the integer columns that folders add."""
+    return StructType([*schema.fields, *[StructField(n, IntegerType()) for n in numbers]])
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 100) -> DataFrame:
@@ -41,7 +50,42 @@ def drain(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema.add("batch_id", IntegerType())).parquet(f"{root}/out")
+    return stream.sparkSession.read.schema(_with(stream.schema, "batch_id")).parquet(f"{root}/out")
+
+
+def run_until(stream: DataFrame, root: str, done: Callable[[StreamingQuery], bool], every: str = "1 second", limit_s: float = 300.0) -> DataFrame:
+    """Run a stream that has timers until `done(query)` holds, and return its output with `batch_id`. Timers of the clock
+    keep asking for batches, so such a query does not end by itself: whoever runs it says when."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        query = (
+            stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
+            .trigger(processingTime=every).foreachBatch(write).start()
+        )
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    ends = time.monotonic() + limit_s
+    try:
+        while not done(query):
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > ends:
+                raise TimeoutError(f"the stream was not done after {limit_s} s")
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    return spark.read.schema(_with(stream.schema, "batch_id")).parquet(f"{root}/out")
+
+
+def idle(query: StreamingQuery) -> bool:
+    """Whether a finished batch found nothing new."""
+    return any(p["numInputRows"] == 0 for p in query.recentProgress)
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:
@@ -50,8 +94,7 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "batch_id")
 
 
-_STATE = "status string, attempts int, changed_us bigint"
-_CHANGE = "job_id bigint, status string, attempts int, changed_us bigint, retry_at_us bigint, expires_us bigint"
+_CHANGE = "job_id bigint, kind string, status string, attempts int, changed_us bigint, retry_at_us bigint, expires_us bigint"
 
 
 def _transition(status: str, attempts: int, event: str, max_attempts: int) -> tuple[str, int] | None:
@@ -67,55 +110,140 @@ def _transition(status: str, attempts: int, event: str, max_attempts: int) -> tu
     return ("COMPLETED" if event == "success" else "FAILED"), attempts
 
 
-def _job_machine(max_attempts: int, backoff_ms: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(status: str, attempts: int, changed: int, retry: int, expires: int) -> pd.DataFrame:
-            return pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "changed_us": [changed],
-                                 "retry_at_us": [retry], "expires_us": [expires]})
+class JobMachine(StatefulProcessor):
+    """State of one job: its live entry while it runs, the queue entry of a finished one for as long as it is kept, and a mark
+    that it is finished, for good."""
+
+    def __init__(self, max_attempts: int, backoff_ms: int, completed_ms: int, failed_ms: int):
+        self.max_attempts, self.backoff_ms = max_attempts, backoff_ms
+        self.kept_ms = {"COMPLETED": completed_ms, "FAILED": failed_ms, "DEAD_LETTER": failed_ms}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        entry = "status string, attempts int, changed_us bigint"
+        self.handle = handle
+        self.live = handle.getValueState("live", entry + ", due_ms bigint")
+        # entries fall away by themselves; completed and failed ones are kept for different times
+        self.completed = handle.getValueState("completed", entry, self.kept_ms["COMPLETED"])
+        self.failed = handle.getValueState("failed", entry, self.kept_ms["FAILED"])
+        self.finished = handle.getValueState("finished", "status string")
+
+    def _row(self, key: tuple, kind: str, status: str, attempts: int, changed: int, wait_ms: int = 0) -> Row:
+        kept = self.kept_ms.get(status, 0)
+        return Row(
+            job_id=key[0], kind=kind, status=status, attempts=attempts, changed_us=changed,
+            retry_at_us=changed + wait_ms * 1000 if wait_ms else 0, expires_us=changed + kept * 1000 if kept else 0,
+        )
 
-        status, attempts, changed = state.get if state.exists else ("WAITING", 0, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        if self.finished.exists():
+            return
+        status, attempts, changed, due = self.live.get() if self.live.exists() else ("WAITING", 0, 0, 0)
         # a job's events of one micro-batch, which the files per trigger bound
-        events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for event, at in zip(events["event"], events["ts_us"]):
-            moved = _transition(status, attempts, event, max_attempts)
+        for _, _, event, at in sorted((r["ts"], r["event_id"], r["event"], r["ts_us"]) for r in rows):
+            moved = _transition(status, attempts, event, self.max_attempts)
             if moved is not None:
                 (status, attempts), changed = moved, int(at)
-        state.update((status, attempts, changed))
-        wait_ms = backoff_ms * 2 ** max(0, attempts - 1) if status == "WAITING" and attempts else 0
-        kept = COMPLETED_KEPT_S if status == "COMPLETED" else FAILED_KEPT_S
-        yield row(status, attempts, changed, changed + wait_ms * 1000 if wait_ms else 0,
-                  changed + kept * 1_000_000 if status in V.JOB_TERMINAL else 0)
-
-    return run
+        if due:
+            self.handle.deleteTimer(due)
+        if status in V.JOB_TERMINAL:
+            self.live.clear()
+            (self.completed if status == "COMPLETED" else self.failed).update((status, attempts, changed))
+            self.finished.update((status,))
+            yield self._row(key, "state", status, attempts, changed)
+            return
+        wait_ms = self.backoff_ms * 2 ** max(0, attempts - 1) if status == "WAITING" and attempts else 0
+        due = timerValues.getCurrentProcessingTimeInMs() + wait_ms if wait_ms else 0
+        if due:
+            self.handle.registerTimer(due)
+        self.live.update((status, attempts, changed, due))
+        yield self._row(key, "state", status, attempts, changed, wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if not self.live.exists():
+            return
+        status, attempts, changed, due = self.live.get()
+        if status == "WAITING" and due == expiredTimerInfo.getExpiryTimeInMs():
+            self.live.update((status, attempts, changed, 0))
+            yield self._row(key, "retry", status, attempts, changed)
+
+    def close(self) -> None:
+        pass
 
 
 def job_state_stream(
     events: DataFrame, max_attempts: int = V.JOB_MAX_ATTEMPTS, backoff_ms: int = V.JOB_BACKOFF_MS,
+    completed_s: float = COMPLETED_KEPT_S, failed_s: float = FAILED_KEPT_S,
 ) -> DataFrame:
-    """Current state per job after every batch, from a stream of (job_id, event_id, ts, event).
+    """Changes of jobs, from a stream of (job_id, event_id, ts, event).
 
-    Every event counts, however late: no watermark drops it. A waiting job carries the time its retry is due; due_retries
-    reads the jobs whose time has come. A finished job keeps its mark for good, so a later start cannot revive it;
-    expires_us says until when its queue entry is kept: an hour after completion, a day after a failure.
+    A row of kind `state` is the state of a job after a batch that touched it. A row of kind `retry` is the job put to work again:
+    a waiting job sets a timer of the clock for its delay, which doubles with every attempt, and is emitted when it fires.
+    Every event counts, however late: no watermark drops it. The queue entry of a completed job is kept for an hour, that of a
+    failed one for a day, then it falls out of the state; a mark of one word stays, so a later start cannot revive the job.
+    Needs the RocksDB state store and, because of the timers, `run_until`.
     """
     timed = events.withColumn("ts_us", F.unix_micros("ts"))
-    return timed.groupBy("job_id").applyInPandasWithState(
-        _job_machine(max_attempts, backoff_ms), _CHANGE, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    machine = JobMachine(max_attempts, backoff_ms, int(completed_s * 1000), int(failed_s * 1000))
+    return timed.groupBy("job_id").transformWithState(
+        statefulProcessor=machine, outputStructType=_CHANGE, outputMode="Update", timeMode="ProcessingTime")
+
+
+def due_retries(changes: DataFrame) -> DataFrame:
+    """Of all changes (with batch_id), the retries that were emitted and that no later event has overtaken."""
+    return latest(changes, "job_id").filter("kind = 'retry'")
 
 
-def due_retries(changes: DataFrame, now: Column) -> DataFrame:
-    """Of the current states, the waiting jobs whose retry is due at `now` (a timestamp)."""
-    return changes.filter((F.col("status") == "WAITING") & (F.col("retry_at_us") > 0) & (F.col("retry_at_us") <= F.unix_micros(now)))
+def waiting(changes: DataFrame) -> DataFrame:
+    """Jobs whose retry has not been emitted yet."""
+    return latest(changes, "job_id").filter("kind = 'state' AND status = 'WAITING' AND attempts > 0")
 
 
-def distinct_jobs(messages: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
-    """Each job once, as long as repeats come within the watermark delay."""
-    return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def kept_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(job_id, finished, kept) from the newest state: whether a job is marked finished, and whether it has a queue entry now."""
+    def variable(name: str) -> DataFrame:
+        rows = spark.read.format("statestore").option("path", f"{root}/state").option("stateVarName", name).load()
+        return rows.select(F.col("key.job_id").alias("job_id"), "value")
+
+    def entries(name: str) -> DataFrame:
+        # the store drops an expired value when it next cleans up; until then its time tells
+        fresh = F.col("value.ttlExpirationMs") > F.unix_millis(F.current_timestamp())
+        return variable(name).filter(fresh).select("job_id", F.lit(True).alias("kept"))
+
+    alive = variable("live").select("job_id", F.lit(True).alias("kept"), F.lit(False).alias("finished"))
+    marked = variable("finished").select("job_id", F.lit(True).alias("finished"))
+    ended = marked.join(entries("completed").unionByName(entries("failed")), "job_id", "left").select("job_id", F.coalesce("kept", F.lit(False)).alias("kept"), "finished")
+    return alive.unionByName(ended)
+
+
+def distinct_jobs(messages: DataFrame, root: str, key: str, buckets: int = 64) -> DataFrame:
+    """Each job once, however late a repeat comes, and however often a batch is replayed.
+
+    What was given out is the table of keys: a folder per batch, dealt into buckets by key. A batch keeps the first message of each key
+    and leaves out keys of earlier batches, bucket by bucket, reading only the key column. It replaces its own folder, so
+    one write commits both the messages and their keys.
+    """
+    spark = messages.sparkSession
+    schema = _with(messages.schema, "batch_id", "bucket")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        first = batch.dropDuplicates([key]).withColumn("bucket", bucket)
+        if batch_id:
+            given = spark.read.schema(schema).parquet(f"{root}/out").filter(F.col("batch_id") < batch_id)
+            first = first.join(given.select("bucket", key), ["bucket", key], "left_anti")
+        first.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/out/batch_id={batch_id}")
+
+    query = (
+        messages.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        .foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out").drop("bucket", "batch_id")
 
 
 def metrics_stream(samples: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Counts, sums and maxima per metric and tumbling window."""
+    """Counts, sums and maxima per metric and tumbling window. A sample later than the watermark delay is dropped: a window that
+    was closed is not opened again."""
     return (
         samples.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "name")
         .agg(F.count("*").alias("count"), F.sum("value").alias("total"), F.max("value").alias("max"))
@@ -134,14 +262,16 @@ def metric_sink(samples: DataFrame, root: str, emit: Callable[[DataFrame, int],
 
 def stream_ingest(documents: DataFrame, root: str, target: int = V.CHUNK_TARGET_TOKENS,
                   overlap: int = V.CHUNK_OVERLAP_TOKENS) -> None:
-    """Chunk arriving documents (doc_id, version_id, text). A batch writes only its own folder, so nothing that
-    is stored is rewritten; which rows are live follows from the batch numbers."""
+    """Chunk arriving documents (doc_id, version_id, text). A batch writes only its own folders, so nothing that
+    is stored is rewritten: its chunks, and a row per version it brings, from which follows what is live. Versions
+    of one document that arrive together are chunked apart."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = ingest.ingest_documents(batch, target, overlap)
-        chunks.join(batch.select("doc_id", "version_id"), "doc_id").write.mode("overwrite").parquet(
-            f"{root}/chunks/batch_id={batch_id}"
-        )
+        arrived = batch.select(F.struct("doc_id", "version_id").alias("doc_id"), "text")
+        chunks = ingest.ingest_documents(arrived, target, overlap)
+        chunks.withColumns({"doc_id": F.col("doc_id.doc_id"), "version_id": F.col("doc_id.version_id")}).write.mode("overwrite").parquet(
+            f"{root}/chunks/batch_id={batch_id}")
+        batch.select("version_id").distinct().write.mode("overwrite").parquet(f"{root}/versions/batch_id={batch_id}")
 
     query = (
         documents.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
@@ -151,7 +281,7 @@ def stream_ingest(documents: DataFrame, root: str, target: int = V.CHUNK_TARGET_
 
 
 def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Stored chunks with `is_live`: a later batch of the same version supersedes the earlier ones."""
-    rows = spark.read.parquet(f"{root}/chunks")
-    newest = F.max("batch_id").over(Window.partitionBy("version_id"))
-    return rows.withColumn("is_live", F.col("batch_id") == newest)
+    """Stored chunks that are live: of each version those of the newest batch that brought it, also when it brought no text.
+    The newest batch comes from the table of versions, which is small beside the chunks; chunks are only joined to it."""
+    newest = spark.read.parquet(f"{root}/versions").groupBy("version_id").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{root}/chunks").join(newest, ["version_id", "batch_id"], "left_semi")

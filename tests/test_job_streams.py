@@ -1,24 +1,29 @@
-"""The job machine over several batches: late events, finished jobs, retries."""
+"""Streams over several batches: late events, finished jobs, emitted retries, expiry, repeats, replays, versions."""
+
+import time
 
 from pyspark.sql import functions as F
 
+from groundwell.plans import ingest
 from groundwell.sources.tables import shared_dir
 from groundwell.streaming import jobs as J
 
 SCHEMA = "job_id long, event_id long, ts timestamp, event string"
 
 
-def run(spark, batches, **options):
-    root = shared_dir(spark, "stream-test")
-    for i, rows in enumerate(batches):  # a file a batch, drained one after the other with one state
-        spark.createDataFrame(rows, "job_id long, event_id long, ts string, event string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+def run(spark, batches, root=None, done=J.idle, pause=0.0, **options):
+    root = root or shared_dir(spark, "stream-test")
+    for rows in batches:  # a file a batch, run one after the other with one state
+        if rows:
+            spark.createDataFrame(rows, "job_id long, event_id long, ts string, event string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
-        out = J.drain(J.job_state_stream(stream, **options), f"{root}/run", "update")
-    return out
+        out = J.run_until(J.job_state_stream(stream, **options), f"{root}/run", done)
+        time.sleep(pause)
+    return out, f"{root}/run"
 
 
 def test_late_events_count_and_finished_jobs_stay_finished(spark):
-    out = run(spark, [
+    out, _ = run(spark, [
         [(1, 1, "2024-01-01 10:00:00", "start"), (1, 2, "2024-01-01 10:00:05", "success")],
         [(2, 3, "2024-01-01 15:00:00", "start")],
         [(3, 4, "2024-01-01 06:00:00", "start"), (1, 5, "2024-01-01 18:00:00", "start")],
@@ -29,8 +34,60 @@ def test_late_events_count_and_finished_jobs_stay_finished(spark):
     assert done["expires_us"] == done["changed_us"] + J.COMPLETED_KEPT_S * 1_000_000
 
 
-def test_a_retry_is_due_once_its_time_has_come(spark):
-    out = run(spark, [[(7, 1, "2024-01-01 10:00:00", "start"), (7, 2, "2024-01-01 10:00:01", "retryable_failure"), (8, 3, "2024-01-01 10:00:02", "start")]], backoff_ms=1000)
-    now = J.latest(out, "job_id")
-    early, late = (F.lit(t).cast("timestamp") for t in ("2024-01-01 10:00:01.5", "2024-01-01 10:00:02"))
-    assert J.due_retries(now, early).count() == 0 and [r["job_id"] for r in J.due_retries(now, late).collect()] == [7]
+def test_a_retry_is_emitted_once_after_its_delay_and_not_if_overtaken(spark):
+    root = shared_dir(spark, "retry-test")
+    fail = [(7, 1, "2024-01-01 10:00:00", "start"), (7, 2, "2024-01-01 10:00:01", "retryable_failure"), (8, 3, "2024-01-01 10:00:02", "start")]
+    slow = [(9, 4, "2024-01-01 10:00:00", "start"), (9, 5, "2024-01-01 10:00:01", "retryable_failure"), (9, 6, "2024-01-01 10:00:02", "start"), (9, 7, "2024-01-01 10:00:03", "retryable_failure")]
+
+    def emitted(query):
+        return J.idle(query) and J.waiting(spark.read.parquet(f"{root}/run/out")).isEmpty()
+
+    out, _ = run(spark, [fail + slow], root, emitted, backoff_ms=300)
+    retries = out.filter("kind = 'retry'").collect()
+    assert sorted((r["job_id"], r["attempts"]) for r in retries) == [(7, 1), (9, 2)]
+    again, _ = run(spark, [[(7, 8, "2024-01-01 10:00:20", "start"), (7, 9, "2024-01-01 10:00:21", "success")]], root, J.idle, backoff_ms=300)
+    assert [(r["job_id"]) for r in J.due_retries(again).collect()] == [9]
+    last = {r["job_id"]: (r["status"], r["attempts"]) for r in J.latest(again, "job_id").collect()}
+    assert last == {7: ("COMPLETED", 2), 8: ("ACTIVE", 1), 9: ("WAITING", 2)}
+
+
+def test_a_start_before_the_delay_is_over_cancels_the_retry(spark):
+    root = shared_dir(spark, "cancel-test")
+    run(spark, [[(1, 1, "2024-01-01 10:00:00", "start"), (1, 2, "2024-01-01 10:00:01", "retryable_failure")]], root, backoff_ms=60_000)
+    out, _ = run(spark, [[(1, 3, "2024-01-01 10:00:02", "start")]], root, backoff_ms=60_000)
+    assert J.waiting(out).isEmpty() and out.filter("kind = 'retry'").isEmpty()
+
+
+def test_entries_of_finished_jobs_fall_away_and_their_mark_stays(spark):
+    root = shared_dir(spark, "expiry-test")
+    rows = [(1, 1, "2024-01-01 10:00:00", "start"), (1, 2, "2024-01-01 10:00:05", "success"), (2, 3, "2024-01-01 10:00:00", "start"), (2, 4, "2024-01-01 10:00:01", "terminal_failure"), (3, 5, "2024-01-01 10:00:00", "start")]
+    _, run_root = run(spark, [rows], root, completed_s=1, failed_s=3600, pause=1.2)
+    assert {tuple(r) for r in J.kept_entries(spark, run_root).collect()} == {(1, False, True), (2, True, True), (3, True, False)}
+    out, _ = run(spark, [[(1, 6, "2024-01-02 10:00:00", "start")]], root, completed_s=1, failed_s=3600)
+    assert {r["job_id"]: r["status"] for r in J.latest(out, "job_id").collect()}[1] == "COMPLETED"
+    assert (1, False, True) in {tuple(r) for r in J.kept_entries(spark, run_root).collect()}
+
+
+def test_a_job_of_any_lateness_comes_out_once_and_a_replay_adds_nothing(spark):
+    root = shared_dir(spark, "once-test")
+    batches = [[(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01 16:00:00")], [(3, "2024-01-01 04:00:00"), (2, "2024-01-01 16:00:00")], [(1, "2024-01-03 10:00:00"), (4, "2023-01-01 10:00:00")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{root}/in")
+        out = J.distinct_jobs(stream, f"{root}/run", "event_id", buckets=3)
+    assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3, 4]
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run/state/commits/2")
+    commits.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commits, False)  # as if the driver was lost before the commit
+    out = J.distinct_jobs(stream, f"{root}/run", "event_id", buckets=3)
+    assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3, 4]
+
+
+def test_versions_of_one_document_stay_apart_and_the_newest_batch_of_a_version_counts(spark):
+    root = shared_dir(spark, "version-test")
+    batches = [[(1, 11, "alpha one\n\nbeta one"), (1, 12, "alpha two\n\nbeta two"), (2, 21, "kept")], [(1, 12, "alpha three"), (2, 22, "other")], [(2, 22, "")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "doc_id long, version_id long, text string").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        J.stream_ingest(spark.readStream.schema("doc_id long, version_id long, text string").parquet(f"{root}/in"), f"{root}/run")
+    got = {r["version_id"]: (r["doc_id"], r["content"]) for r in J.stored_chunks(spark, f"{root}/run").collect()}
+    whole = ingest.ingest_documents(spark.createDataFrame([(1, "alpha one\n\nbeta one")], "doc_id long, text string")).first()["content"]
+    assert got == {11: (1, whole), 12: (1, "alpha three"), 21: (2, "kept")}

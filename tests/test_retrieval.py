@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as T
 from groundwell.operators import dedup, hybrid, lexical, semantic
+from groundwell.operators.index import ChunkIndex, add_segment, prefix_terms
+from groundwell.sources.tables import shared_dir
 
 NOW = dt.datetime(2024, 5, 1)
 
@@ -29,7 +31,8 @@ def question(spark, text, languages=()):
 
 
 def positions(spark, text, texts):
-    found = lexical.lexical_matches(lexical.query_clauses(T.preprocess(question(spark, text))), chunk_rows(spark, texts), salts=3)
+    index = add_segment(chunk_rows(spark, texts), shared_dir(spark, "index"), rows_per_part=2)
+    found = lexical.lexical_matches(lexical.query_clauses(T.preprocess(question(spark, text))), index)
     return {r.chunk_id: r.matched_positions for r in found.collect()}
 
 
@@ -56,7 +59,9 @@ def test_exact_knn_does_not_depend_on_blocks(spark):
     queries = [(q, "kb", "m", 8, rng.normal(size=8).tolist(), [], []) for q in range(7)]
     left = spark.createDataFrame(queries, "query_id bigint, kb_id string, embedding_model string, embedding_dim int, embedding array<double>, document_ids array<bigint>, languages array<string>")
     right = spark.createDataFrame(chunks, "chunk_id string, doc_id bigint, kb_id string, language string, indexed_at timestamp, embedding_model string, embedding_dim int, embedding array<double>")
-    cut = semantic.semantic_topk(left, right, 5, chunk_rows=30, query_rows=2)
+    root = shared_dir(spark, "vectors")
+    semantic.add_vectors(right.withColumn("seq", F.col("doc_id")), root, block_rows=20, part_rows=90)
+    cut = semantic.semantic_topk(left, ChunkIndex(spark, root), 5, query_rows=2)
     got = {(r.query_id, r.semantic_rank): r.chunk_id for r in cut.collect()}
     matrix = np.array([c[7] for c in chunks])
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
