@@ -280,7 +280,7 @@ def _(c):
       || coalesce(g.context, '') || chr(10) || chr(10) || '{V.PROMPT_SECTIONS[4]}' || chr(10) || q.question AS prompt
     FROM v_question q LEFT JOIN (SELECT query_id, max(hybrid_score) AS top, string_agg('Chunk ' || grounding_rank || chr(10) || 'chunk_id=' || chunk_id
         || chr(10) || 'document_id=' || doc_id || chr(10) || 'document_title=' || document_title || chr(10) || 'page=' || page_number || chr(10)
-        || 'section=' || coalesce(section_title, 'n/a') || chr(10) || 'score=' || printf('%.4f', hybrid_score) || chr(10) || 'content:' || chr(10) || content,
+        || 'section=' || coalesce(section_title, 'n/a') || chr(10) || 'score=' || printf('%.4f', hybrid_score + CASE WHEN (hybrid_score * 32) % 2 = 1 THEN 1e-9 ELSE 0 END) || chr(10) || 'content:' || chr(10) || content,
         chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY grounding_rank) AS context FROM ground GROUP BY query_id) g USING (query_id)
     LEFT JOIN (SELECT conversation_id AS query_id, string_agg(n || '. [' || role || '] ' || content, chr(10) ORDER BY n) AS talk FROM (
         SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at) AS n FROM (

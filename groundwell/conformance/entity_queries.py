@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwell.conformance.registry import query
+from groundwell.sources.tables import shared_dir
 from groundwell.operators import entities, scope
 from groundwell.operators import lifecycle as L
 
@@ -381,7 +382,10 @@ _NOW = "2025-01-01 00:00:00"
 
 
 def next_state(c):
-    return L.supersede_chunks(chunk_table(c), chunk_batch(c), F.lit(_NOW).cast("timestamp"))
+    store = L.ChunkStore(c.spark, shared_dir(c.spark, "chunk-store"), buckets=4)
+    store.create(chunk_table(c))
+    store.supersede(chunk_batch(c), F.lit(_NOW).cast("timestamp"))
+    return store.read()
 
 
 @query("k03_supersede_chunks", "SELECT chunk_id, version_id, state FROM next_state", _STATE)

@@ -15,13 +15,11 @@ from groundwell.plans import ingest as P
 TARGET, OVERLAP = 120, 20
 
 
-def styled_lines(c):
-    """Every line of every document, restyled by its number so that all line kinds occur."""
-    rows = B.split_lines(c.table("documents").select("doc_id", "text"))
-    n, line = F.col("line_no"), F.col("text")
+def restyled(line, n):
+    """A line restyled by its number, so that all line kinds occur."""
     w = F.split(T.collapse(line), " ")
     turn = F.floor(n / 12)
-    styled = (
+    return (
         F.when(n % 12 == 1, F.concat(
             F.repeat(F.lit("#"), (1 + turn % 3).cast("int")), F.lit(" "), F.array_join(F.slice(w, 1, 3), " ")))
         .when(n % 12 == 3, F.concat(F.lit("- "), line))
@@ -33,7 +31,17 @@ def styled_lines(c):
         .when(n % 12 == 11, F.concat(line, F.lit(" inter-"))).when(n % 12 == 0, F.concat(F.lit("rupted "), line))
         .otherwise(line)
     )
-    return rows.select("doc_id", F.lit(None).cast("int").alias("page_number"), "line_no", styled.alias("text"))
+
+
+def styled_lines(c):
+    """Every line of every document, restyled."""
+    rows = B.split_lines(c.table("documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lit(None).cast("int").alias("page_number"), "line_no", restyled(F.col("text"), F.col("line_no")).alias("text"))
+
+
+def styled_text(text):
+    """A whole text with every line restyled."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: restyled(line, i + 1)), "\n")
 
 
 def page_lines(c):
@@ -43,7 +51,7 @@ def page_lines(c):
     body = rows.select("doc_id", page.alias("page_number"), (F.col("line_no") * 10).alias("line_no"), "text")
     edges = body.groupBy("doc_id", "page_number").agg(F.max("line_no").alias("hi"), F.min("line_no").alias("lo"))
     named = edges.filter("doc_id % 3 <> 0")
-    top = named.select("doc_id", "page_number", (F.col("lo") - 1).alias("line_no"), F.lit("Support Copilot Runbook").alias("text"))
+    top = named.select("doc_id", "page_number", (F.col("lo") - 1).alias("line_no"), F.lit("Operations Desk Runbook").alias("text"))
     foot = named.select("doc_id", "page_number", (F.col("hi") + 1).alias("line_no"),
                         F.concat(F.lit("Page "), F.col("page_number").cast("string")).alias("text"))
     return body.unionByName(top).unionByName(foot)
@@ -385,7 +393,7 @@ _PAGES = {
               unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents)""",
     "page_line": """
         SELECT * FROM page_body
-        UNION ALL SELECT doc_id, page, min(line_no) - 1, 'Support Copilot Runbook' FROM page_body WHERE doc_id % 3 <> 0 GROUP BY doc_id, page
+        UNION ALL SELECT doc_id, page, min(line_no) - 1, 'Operations Desk Runbook' FROM page_body WHERE doc_id % 3 <> 0 GROUP BY doc_id, page
         UNION ALL SELECT doc_id, page, max(line_no) + 1, 'Page ' || page FROM page_body WHERE doc_id % 3 <> 0 GROUP BY doc_id, page""",
     "keyed": r"""
         SELECT *, CASE WHEN length(k) BETWEEN 4 AND 120 AND regexp_matches(k, '[^# ]') THEN k END AS key

@@ -323,6 +323,12 @@ def finalize_answers(answers: DataFrame, citation_counts: DataFrame) -> DataFram
     )
 
 
+def _four_digits(score: Column) -> Column:
+    """Four decimals of the number as it is stored. Only an odd multiple of 1/32 lies exactly between two of them; it goes up."""
+    between = F.abs(score * 32) % 2 == 1
+    return F.when(between, F.format_string("%.4f", score)).otherwise(F.replace(F.format_number(score, 4), F.lit(","), F.lit("")))
+
+
 def prompt_table(questions: DataFrame, grounding: DataFrame, history: DataFrame) -> DataFrame:
     """One prompt per question: schema hint, evidence strength, numbered history, chunk blocks, question.
     `history`: query_id, history_position, role, content (at most the history limit per question)."""
@@ -333,7 +339,7 @@ def prompt_table(questions: DataFrame, grounding: DataFrame, history: DataFrame)
         F.concat(F.lit("document_title="), "document_title"),
         F.concat(F.lit("page="), F.coalesce(F.col("page_number").cast("string"), F.lit("n/a"))),
         F.concat(F.lit("section="), F.coalesce("section_title", F.lit("n/a"))),
-        F.concat(F.lit("score="), F.format_string("%.4f", "hybrid_score")), F.lit("content:"), "content",
+        F.concat(F.lit("score="), _four_digits(F.col("hybrid_score"))), F.lit("content:"), "content",
     )
 
     def joined(rows: Column, sep: str) -> Column:

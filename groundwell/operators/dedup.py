@@ -17,9 +17,17 @@ _FOLDED = [
 
 
 def exact_duplicates(rows: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
-    """Flag rows whose checksum already appeared earlier in the partition."""
-    window = Window.partitionBy(*partition, "checksum").orderBy(*order)
-    return rows.withColumn("is_duplicate", F.row_number().over(window) > 1)
+    """Flag rows whose checksum already appeared earlier in the partition.
+
+    The first row is found in two steps: among the rows of a checksum that one input task read, then among those firsts. A line
+    that a third of all rows repeat is spread like the input, and only one row an input task meets the others."""
+    dealt = rows.withColumn("__task", F.spark_partition_id())
+    near = Window.partitionBy(*partition, "checksum", "__task").orderBy(*order)
+    first = dealt.withColumn("__first", F.row_number().over(near) == 1)
+    # rows that are not first stay with their task's rows; the firsts of a checksum meet under the number -1
+    far = Window.partitionBy(*partition, "checksum", "__meet").orderBy(*order)
+    met = first.withColumn("__meet", F.when(F.col("__first"), -1).otherwise(F.col("__task")))
+    return met.withColumn("is_duplicate", ~F.col("__first") | (F.row_number().over(far) > 1)).drop("__task", "__first", "__meet")
 
 
 def is_near_duplicate(kept: Column, other: Column, threshold: float = V.NEAR_DUP_JACCARD) -> Column:

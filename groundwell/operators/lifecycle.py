@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import fixed_values as V
+from groundwell.sources.tables import settle
 
 
 def error_taxonomy(code: Column) -> tuple[Column, Column]:
@@ -73,6 +76,59 @@ def supersede_chunks(table: DataFrame, batch: DataFrame, at: Column) -> DataFram
     return closed.drop("touched").unionByName(fresh)
 
 
+@dataclass(frozen=True)
+class ChunkStore:
+    """A chunk table in partitions of (knowledge base, bucket of the version), each in the folder of the generation that wrote it.
+
+    A batch writes the partitions its versions lie in to a folder of its own, and then a manifest that says which generation of each
+    partition counts. The manifest appears as a whole, when its folder is marked complete, and that is the switch: until then readers
+    see the state before, and a failed batch is written again over its own folder. Nothing older is touched."""
+
+    spark: SparkSession
+    root: str
+    buckets: int = 64
+
+    def _manifests(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/n=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+    def _partitioned(self, rows: DataFrame) -> DataFrame:
+        # the folder's name keeps the id a string, also where it reads like a number
+        return rows.withColumn("kb", F.concat(F.lit("kb-"), "kb_id")).withColumn("bucket", F.pmod(F.xxhash64("version_id"), F.lit(self.buckets)).cast("int"))
+
+    def _commit(self, rows: DataFrame, generation: int, before: DataFrame | None) -> None:
+        """Write the partitions of rows as a generation, and the manifest in which they replace those of before(kb, bucket, generation)."""
+        folder = f"{self.root}/data/generation={generation}"
+        rows.repartition("kb", "bucket").write.mode("overwrite").partitionBy("kb", "bucket").parquet(folder)
+        own = self.spark.read.parquet(folder).select("kb", "bucket").distinct().withColumn("generation", F.lit(generation))
+        if before is not None:
+            own = before.join(own, ["kb", "bucket"], "left_anti").select("kb", "bucket", "generation").unionByName(own)
+        own.write.mode("overwrite").parquet(f"{self.root}/manifest/n={generation}")
+
+    def create(self, rows: DataFrame) -> None:
+        self._commit(self._partitioned(rows), 0, None)
+
+    def manifest(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/manifest/n={self._manifests()[-1]}")
+
+    def read(self) -> DataFrame:
+        """Rows of the generation that counts for their partition; other folders are pruned."""
+        return self._current(self.manifest()).drop("kb", "bucket", "generation")
+
+    def _current(self, partitions: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/data").join(partitions, ["generation", "kb", "bucket"], "left_semi")
+
+    def supersede(self, batch: DataFrame, at: Column) -> None:
+        """Close the live rows of every version the batch brings and add the batch, in the partitions that hold these versions."""
+        manifest = self.manifest()
+        fresh = settle(self._partitioned(batch), "supersede-batch")
+        touched = manifest.join(fresh.select("kb", "bucket").distinct(), ["kb", "bucket"], "left_semi")
+        old = self._current(touched).drop("generation")
+        state = supersede_chunks(old, fresh.select(*[c for c in old.columns if c != "superseded_at"]), at)
+        self._commit(state, self._manifests()[-1] + 1, manifest)
+
+
 def live_chunks(table: DataFrame) -> DataFrame:
     return table.filter(F.col("superseded_at").isNull())
 

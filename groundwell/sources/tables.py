@@ -83,11 +83,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     )
 
 
-def upsert_by_key(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert or update: a full outer join where a new non-null value wins. Applying it twice changes nothing."""
+def upsert_by_key(current: DataFrame, incoming: DataFrame, keys: list[str], newest: Column | None = None) -> DataFrame:
+    """Insert or update: a full outer join where a new non-null value wins. Applying it twice changes nothing.
+    Of several incoming rows of a key the one that is greatest in `newest` counts; without it, the one that arrived last."""
     values = [c for c in current.columns if c not in keys]
-    renamed = incoming.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values])
-    return current.join(renamed, keys, "full_outer").select(
+    order = newest if newest is not None else F.monotonically_increasing_id()
+    new = F.struct(*[F.col(c).alias(f"new_{c}") for c in values])
+    latest = incoming.withColumn("__new", new).withColumn("__order", order).groupBy(*keys).agg(F.max_by("__new", "__order").alias("__new")).select(*keys, "__new.*")
+    return current.join(latest, keys, "full_outer").select(
         *keys, *[F.coalesce(f"new_{c}", c).alias(c) for c in values]
     )
 
