@@ -4,7 +4,7 @@ from importlib import import_module
 
 FAMILIES = [
     "retrieval_queries", "function_queries", "entity_queries", "ingest_queries", "ops_queries",
-    "answer_queries", "eval_queries", "stream_queries",
+    "answer_queries", "eval_queries", "stream_queries", "rule_queries",
 ]
 
 

@@ -12,6 +12,7 @@ from groundwell.functions import text as T
 from groundwell.operators import evaluation as E
 from groundwell.operators import reporting as P
 from groundwell.plans import evaluate
+from groundwell.sources.tables import settle
 
 _CATEGORIES = ["single source", "multi_source", "general", "out_of_scope", "refusal", "version_sensitive", "access_sensitive", "insufficient"]
 _REFUSAL = "I could not find relevant support material."
@@ -307,9 +308,21 @@ def cases(c):
 
 @query("e22_run_eval")
 def _(c):
+    """Two runs of one set, the later one with fewer grounding chunks and slower: the later run's items, compared with the earlier."""
     as_of = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    return evaluate.run_eval(cases(c), c.question_vectors, c.live_line_chunks, c.chunk_vectors, as_of, "run-1").select(
-        "case_id", "category", "status", "score", "passed", F.array_join("failure_reasons", "|").alias("reasons"))
+    asked = cases(c)
+    key = F.col("case_id")
+
+    def spent(run):
+        return asked.select(F.col("query_id").alias("case_id")).select(
+            "case_id", (100 * run + key % 7).cast("int").alias("latency_ms"), (key % 5).cast("int").alias("input_tokens"), (key % 3).cast("int").alias("output_tokens"),
+            (key % 5 + key % 3).cast("int").alias("total_tokens"), F.when(key % 19 == 18, F.lit("timeout")).alias("error"))
+
+    first = settle(evaluate.run_eval(asked, c.question_vectors, c.index, as_of, "run-1", usage=spent(1)), "first-run")
+    second = evaluate.run_eval(asked, c.question_vectors, c.index, as_of, "run-2", grounding_limit=1, usage=spent(2))
+    headers = c.spark.createDataFrame([("run-1", "set", 1, "COMPLETED"), ("run-2", "set", 2, "COMPLETED")], "run_id string, eval_set_id string, started_us long, status string")
+    return evaluate.finish_run(second, headers, first).items.select(
+        "case_id", "category", "status", "score", "passed", F.array_join("failure_reasons", "|").alias("reasons"), "latency_ms", "regression_flag")
 
 
 @query("e23_evidence_snippet", f"SELECT doc_id, left({Q.collapse('text')}, 280) AS snippet FROM documents")

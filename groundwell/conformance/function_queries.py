@@ -39,7 +39,7 @@ def _(c):
     SELECT doc_id, array_to_string({Q.ordered('t')}, '|') AS terms
     FROM (SELECT doc_id, {Q.raw_terms('text')} AS t FROM documents)""")
 def _(c):
-    return c.table("documents").select("doc_id", F.array_join(T.terms(F.col("text")), "|").alias("terms"))
+    return T.with_terms(c.table("documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query("f05_lexical_text", "SELECT query_id, array_to_string(lexical_parts, ' ') AS lexical_text FROM q_prepared")
@@ -155,7 +155,8 @@ def _(c):
 @query("f19_significant_terms", f"""
     SELECT doc_id, array_to_string({Q.significant('text')}, '|') AS terms FROM documents""")
 def _(c):
-    return c.table("documents").select("doc_id", F.array_join(T.significant_terms(F.col("text")), "|").alias("terms"))
+    rows = T.with_terms(c.table("documents").select("doc_id", "text"), "text", significant=True)
+    return rows.select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 _SIG = {
@@ -226,9 +227,8 @@ def _(c):
              '-{2,}', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 80) || '.txt', '') END AS filename
     FROM v_document""")
 def _(c):
-    return c.documents.select(
-        "doc_id", F.coalesce(T.safe_filename(F.concat("name", F.lit(".txt"))), F.lit("")).alias("filename")
-    )
+    named = T.with_safe_filename(c.documents.select("doc_id", F.concat("name", F.lit(".txt")).alias("name")), "name")
+    return named.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"))
 
 
 @query("f25_display_name", f"""

@@ -295,40 +295,56 @@ def binary_files(c):
         F.concat(name, F.when(kind == 0, ".pdf").when(kind == 1, ".docx").otherwise(".txt")).alias("filename"))
 
 
+#: the same files in SQL: `shown` is what the bytes say as text, `latin` the Latin-1 kind
+_FILES = {
+    "binary_file": r"""
+        SELECT doc_id, source, text, regexp_replace(text, '[^\x00-\xFF]', '', 'g') AS latin,
+          CASE doc_id % 5 WHEN 0 THEN '%PDF-1.7' || chr(10) || text
+            WHEN 1 THEN 'PK' || chr(3) || chr(4) || '[Content_Types].xml word/document.xml' || chr(0) || text
+            WHEN 2 THEN regexp_replace(text, '[^\x00-\xFF]', '', 'g')
+            WHEN 3 THEN chr(0) || chr(1) || chr(2) || text ELSE text END AS shown,
+          'file' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' ELSE '.txt' END AS name FROM documents""",
+    "control_share": r"""
+        SELECT doc_id, length(regexp_replace(left(shown, 4096), '[^\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))
+          / greatest(1, least(4096, CASE WHEN doc_id % 5 = 2 THEN length(shown) ELSE strlen(shown) END))::DOUBLE AS share FROM binary_file""",
+}
+
+
 @query("s03_detect_type", r"""
     SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 3 THEN 'UNSUPPORTED_FILE_TYPE'
+        WHEN 2 THEN CASE WHEN NOT regexp_matches(left(latin, 2048), '[^\x00-\x7F]')
+             OR length(regexp_replace(left(latin, 2048), '[^\t\n\r -~]', '', 'g')) / greatest(1, length(left(latin, 2048)))::DOUBLE > 0.9
+             THEN 'txt' ELSE 'UNSUPPORTED_FILE_TYPE' END
         ELSE CASE WHEN TRY(decode(b[1:2048])) IS NOT NULL OR length(regexp_replace(s, '[^\t\n\r -~]', '', 'g')) / 2048.0 > 0.9
              THEN 'txt' ELSE 'UNSUPPORTED_FILE_TYPE' END END AS file_type
-    FROM (SELECT doc_id, encode(text) AS b, coalesce(TRY(decode(encode(text)[1:2048])), TRY(decode(encode(text)[1:2047])),
-            TRY(decode(encode(text)[1:2046]))) AS s FROM documents WHERE doc_id % 5 <> 2)""")
+    FROM (SELECT doc_id, latin, encode(text) AS b, coalesce(TRY(decode(encode(text)[1:2048])), TRY(decode(encode(text)[1:2047])),
+            TRY(decode(encode(text)[1:2046]))) AS s FROM binary_file)""", _FILES)
 def _(c):
-    rows = binary_files(c).filter("doc_id % 5 <> 2")
-    return rows.select("doc_id", files.detect_type(F.col("content"), F.lit("application/octet-stream"), F.col("filename")).alias("file_type"))
+    return binary_files(c).select("doc_id", files.detect_type(F.col("content"), F.lit("application/octet-stream"), F.col("filename")).alias("file_type"))
 
 
 @query("s04_upload_triple_check", """
-    SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'unsupported_file_type' WHEN doc_id % 3 = 1 THEN 'unsupported_declared_type'
-      WHEN doc_id % 3 = 2 AND doc_id % 5 <> 0 THEN 'declared_type_mismatch' ELSE 'ok' END AS verdict FROM documents WHERE length(text) > 40""")
+    SELECT doc_id, CASE WHEN text IS NULL OR doc_id % 5 = 3 OR (doc_id % 5 IN (2, 4) AND share >= 0.02) THEN 'unsupported_file_type'
+      WHEN doc_id % 3 = 1 THEN 'unsupported_declared_type'
+      WHEN doc_id % 3 = 2 AND doc_id % 5 <> 0 THEN 'declared_type_mismatch' ELSE 'ok' END AS verdict FROM documents JOIN control_share USING (doc_id)""", _FILES)
 def _(c):
     declared = F.when(F.col("doc_id") % 3 == 1, "image/png").when(F.col("doc_id") % 3 == 2, files.PDF) \
         .otherwise("application/octet-stream")
-    return binary_files(c).filter(F.length("text") > 40).select(
-        "doc_id", files.upload_check(F.col("content"), F.col("filename"), declared).alias("verdict"))
+    return binary_files(c).select("doc_id", files.upload_check(F.col("content"), F.col("filename"), declared).alias("verdict"))
 
 
-@query("s05_decode_text", """
-    SELECT doc_id, text FROM documents WHERE doc_id % 5 IN (2, 4)""")
+@query("s05_decode_text", "SELECT doc_id, shown AS text FROM binary_file", _FILES)
 def _(c):
-    rows = binary_files(c).filter("doc_id % 5 IN (2, 4)")
     marked = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.col("content"))).otherwise(F.col("content"))
-    return rows.select("doc_id", files.decode_text(marked).alias("text"))
+    return binary_files(c).select("doc_id", files.decode_text(marked).alias("text"))
 
 
 @query("s06_content_hash_key", """
-    SELECT doc_id, source || '/' || sha256(text) || '-file' || doc_id || '.txt' AS key FROM documents WHERE doc_id % 5 = 4""")
+    SELECT doc_id, source || '/' || CASE WHEN doc_id % 5 = 2
+        THEN sha256(unhex(array_to_string(list_transform(string_split(latin, ''), lambda x: printf('%02x', ord(x))), '')))
+        ELSE sha256(encode(shown)) END || '-' || name AS key FROM binary_file""", _FILES)
 def _(c):
-    rows = binary_files(c).filter("doc_id % 5 = 4")
-    return rows.select("doc_id", files.storage_key(F.col("source"), F.col("content"), F.col("filename")).alias("key"))
+    return binary_files(c).select("doc_id", files.storage_key(F.col("source"), F.col("content"), F.col("filename")).alias("key"))
 
 
 @query("s07_scan_tables", "SELECT doc_id, lang, source, n_chars FROM documents")

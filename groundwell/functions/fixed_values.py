@@ -108,7 +108,10 @@ CRITICAL_DIMENSIONS = ["retrieval_source_hit", "answer_groundedness", "refusal_q
 
 # --- fixed values: domains ---------------------------------------------------
 KB_ROLE_PRIORITY = {"VIEWER": 1, "EDITOR": 2, "OWNER": 3}
-DOCUMENT_STATUSES = ["QUEUED", "PROCESSING", "INDEXED", "FAILED"]
+KB_STATUSES = ["ACTIVE", "ARCHIVED"]
+DOCUMENT_STATUSES = ["UPLOADED", "QUEUED", "PROCESSING", "INDEXED", "FAILED", "ARCHIVED"]
+VERSION_STATUSES = ["QUEUED", "PROCESSING", "INDEXED", "FAILED"]
+VECTOR_STATUSES = ["PENDING", "DISABLED", "COMPLETED", "FAILED"]
 JOB_STATUSES = ["WAITING", "ACTIVE", "COMPLETED", "FAILED", "DEAD_LETTER"]
 JOB_TERMINAL = ["COMPLETED", "FAILED", "DEAD_LETTER"]
 # code: (retryable, stage)

@@ -163,6 +163,19 @@ def significant_terms(text: Column) -> Column:
     )
 
 
+def with_terms(df: DataFrame, name: str, into: str = "terms", significant: bool = False) -> DataFrame:
+    """Add the terms (or significant terms) of a column, of its Unicode compatibility form: full width letters and ligatures meet
+    their plain spelling. The form is made once a text, in Python only for texts that may change."""
+    staged = with_nfkc(df.withColumn(into, F.col(name)), into)
+    return staged.withColumn(into, significant_terms(F.col(into)) if significant else terms(F.col(into)))
+
+
+def with_safe_filename(df: DataFrame, name: str, into: str = "filename") -> DataFrame:
+    """Add the storage-safe form of a file name, from its Unicode compatibility form."""
+    staged = with_nfkc(df.withColumn(into, F.col(name)), into)
+    return staged.withColumn(into, safe_filename(F.col(into)))
+
+
 def terms_match(left: Column, right: Column) -> Column:
     long_enough = (F.length(left) >= 4) & (F.length(right) >= 4)
     return (left == right) | (long_enough & (F.startswith(left, right) | F.startswith(right, left)))

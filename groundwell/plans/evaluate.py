@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from groundwell.functions import fixed_values as V
 from groundwell.functions import text as T
 from groundwell.operators import citations as X
 from groundwell.operators import evaluation as E
+from groundwell.operators import reporting as P
 from groundwell.operators.index import ChunkIndex
 from groundwell.plans import retrieve as R
 from groundwell.sources.tables import settle
@@ -21,10 +24,12 @@ _KEPT = [
 
 def execute_cases(
     cases: DataFrame, question_vectors: DataFrame, index: ChunkIndex, as_of: Column, run_id: str,
-    candidate_limit: int = V.CANDIDATE_LIMIT, grounding_limit: int = V.GROUNDING_LIMIT,
+    candidate_limit: int = V.CANDIDATE_LIMIT, grounding_limit: int = V.GROUNDING_LIMIT, usage: DataFrame | None = None,
 ) -> DataFrame:
     """Run every case (query_id, kb_id, question, filters, expectations): one scored-to-be item per case.
-    Candidates and answers are written once to the shared folder, because later steps read them several times."""
+    Candidates and answers are written once to the shared folder, because later steps read them several times.
+    `usage` (case_id, latency_ms, input_tokens, output_tokens, total_tokens, error) is what the answering of each case took and how
+    it failed, if it did; a case without a row counts as 0 and not failed."""
     found = settle(
         R.retrieve(cases, question_vectors, index, as_of, candidate_limit, candidate_limit).select(*_KEPT),
         "retrieved",
@@ -64,15 +69,44 @@ def execute_cases(
         .when(F.col("gate") == "out_of_scope", V.NO_SUPPORT_ANSWER)
         .when(bare, V.NO_CITATION_ANSWER).otherwise(F.col("answer"))
     )
+    spent = {n: F.lit(0) for n in ("latency_ms", "input_tokens", "output_tokens", "total_tokens")} | {"error": F.lit(None).cast("string")}
+    if usage is not None:
+        joined = joined.join(usage.select(F.col("case_id").alias("query_id"), F.struct(*spent).alias("used")), "query_id", "left")
+        spent = {n: F.coalesce(F.col(f"used.{n}"), none_yet) for n, none_yet in spent.items()}
     return joined.select(
         F.lit(run_id).alias("run_id"), F.col("query_id").alias("case_id"), "question", "expected_answer",
         "expected_document_id", "expected_hint", "category", status.alias("status"), answer.alias("answer"), "top_score",
-        F.lit(0).alias("latency_ms"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"),
-        F.lit(0).alias("total_tokens"), F.when(proceeds, F.col("sources")).otherwise(none).alias("sources"),
-        F.when(proceeds, F.col("citations")).otherwise(none).alias("citations"), F.lit(None).cast("string").alias("error"),
+        *[spent[n].alias(n) for n in ("latency_ms", "input_tokens", "output_tokens", "total_tokens")], F.when(proceeds, F.col("sources")).otherwise(none).alias("sources"),
+        F.when(proceeds, F.col("citations")).otherwise(none).alias("citations"), spent["error"].alias("error"),
     )
 
 
 def run_eval(*args, **kwargs) -> DataFrame:
     """Scored items of one run."""
     return E.score_items(execute_cases(*args, **kwargs))
+
+
+@dataclass(frozen=True)
+class EvalRun:
+    """What a finished run leaves: its items with their regression flags, and the reports made of them."""
+
+    items: DataFrame
+    summary: DataFrame
+    deltas: DataFrame
+    changes: DataFrame
+    regressions: DataFrame
+
+
+def finish_run(items: DataFrame, runs: DataFrame, earlier: DataFrame | None = None) -> EvalRun:
+    """Flags, summary, differences and notable regressions of the run that `items` (scored) belong to.
+
+    `runs` (run_id, eval_set_id, started_us or started_at, status) names all runs of the sets; `earlier` are the scored items of the
+    runs before, of which only the previous one of the same set is compared. Without it nothing is a regression."""
+    own = settle(items, "eval-items")
+    every = own if earlier is None else own.unionByName(earlier.select(*own.columns))
+    this = own.select("run_id").distinct()
+    flagged = P.regression_flags(P.items_with_previous(every, runs)).join(this, "run_id", "left_semi")
+    flagged = settle(flagged, "eval-flagged")
+    summaries = P.run_summary(every)
+    deltas = P.run_deltas(summaries, runs).join(this, "run_id", "left_semi")
+    return EvalRun(flagged, summaries.join(this, "run_id", "left_semi"), deltas, P.meaningful_changes(deltas), P.notable_regressions(flagged))
