@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import fixed_values as V
@@ -16,6 +16,12 @@ def metric_key(name: Column, tags: Column) -> Column:
     return F.when(F.coalesce(F.size(tags), F.lit(0)) > 0, tagged).otherwise(name)
 
 
+def observed(rows: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """rows that count while they pass: the metrics are there when the job that reads them has run, without a second scan."""
+    seen = Observation(name)
+    return rows.observe(seen, *[metric.alias(label) for label, metric in metrics.items()]), seen
+
+
 def counter_totals(samples: DataFrame) -> DataFrame:
     keyed = samples.withColumn("metric", metric_key(F.col("name"), F.col("tags")))
     return keyed.groupBy("metric").agg(F.sum("value").alias("total"))

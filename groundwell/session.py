@@ -38,6 +38,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

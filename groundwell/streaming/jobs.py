@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from groundwell.functions import fixed_values as V
+from groundwell.operators import metrics
 from groundwell.plans import ingest
 from groundwell.sources.tables import TABLE_SCHEMAS
 
@@ -260,17 +261,27 @@ def metric_sink(samples: DataFrame, root: str, emit: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
+_INGEST_METRICS = "chunks long, tokens long, characters long, duration_ms long"
+
+
 def stream_ingest(documents: DataFrame, root: str, target: int = V.CHUNK_TARGET_TOKENS,
                   overlap: int = V.CHUNK_OVERLAP_TOKENS) -> None:
     """Chunk arriving documents (doc_id, version_id, text). A batch writes only its own folders, so nothing that
     is stored is rewritten: its chunks, and a row per version it brings, from which follows what is live. Versions
-    of one document that arrive together are chunked apart."""
+    of one document that arrive together are chunked apart. What a batch wrote is counted while it is written and kept as a row
+    of metrics."""
+    spark = documents.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        began = time.monotonic()
         arrived = batch.select(F.struct("doc_id", "version_id").alias("doc_id"), "text")
         chunks = ingest.ingest_documents(arrived, target, overlap)
-        chunks.withColumns({"doc_id": F.col("doc_id.doc_id"), "version_id": F.col("doc_id.version_id")}).write.mode("overwrite").parquet(
-            f"{root}/chunks/batch_id={batch_id}")
+        counted, seen = metrics.observed(
+            chunks.withColumns({"doc_id": F.col("doc_id.doc_id"), "version_id": F.col("doc_id.version_id")}), f"ingest-{batch_id}",
+            chunks=F.count(F.lit(1)), tokens=F.coalesce(F.sum("token_count"), F.lit(0)), characters=F.coalesce(F.sum(F.length("content")), F.lit(0)))
+        counted.write.mode("overwrite").parquet(f"{root}/chunks/batch_id={batch_id}")
+        values = {**seen.get, "duration_ms": int((time.monotonic() - began) * 1000)}
+        spark.createDataFrame([values], _INGEST_METRICS).write.mode("overwrite").parquet(f"{root}/metrics/batch_id={batch_id}")
         batch.select("version_id").distinct().write.mode("overwrite").parquet(f"{root}/versions/batch_id={batch_id}")
 
     query = (
@@ -280,6 +291,11 @@ def stream_ingest(documents: DataFrame, root: str, target: int = V.CHUNK_TARGET_
     query.awaitTermination()
 
 
+def ingest_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """A row per batch: chunks, tokens, characters and duration_ms of its ingestion."""
+    return spark.read.schema(_with(spark.createDataFrame([], _INGEST_METRICS).schema, "batch_id")).parquet(f"{root}/metrics")
+
+
 def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Stored chunks that are live: of each version those of the newest batch that brought it, also when it brought no text.
     The newest batch comes from the table of versions, which is small beside the chunks; chunks are only joined to it."""

@@ -95,3 +95,6 @@ def test_versions_of_one_document_stay_apart_and_the_newest_batch_of_a_version_c
     docs = spark.createDataFrame([(11, text("first")), (12, text("third")), (21, text("kept"))], "doc_id long, text string")
     want = {r["doc_id"]: (r["doc_id"] // 10, r["content"]) for r in ingest.ingest_documents(docs).collect()}
     assert got == want and len(want) == 3
+    stored = spark.read.parquet(f"{root}/run/chunks").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"), F.sum(F.length("content")).alias("l"))
+    kept = {r["batch_id"]: (r["chunks"], r["tokens"], r["characters"]) for r in J.ingest_metrics(spark, f"{root}/run").collect()}
+    assert kept == {r["batch_id"]: (r["n"], r["t"], r["l"]) for r in stored.collect()} | {2: (0, 0, 0)}

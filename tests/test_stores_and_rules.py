@@ -150,7 +150,7 @@ def test_a_failing_call_is_an_error_row_and_the_rest_goes_on(spark):
     pairs = hooks.embed_texts(rows.filter("id IN (1, 4)"), picky, "m", batch_items=2).collect()
     assert {r["embedding_error"] for r in pairs} == {"OPENAI_EMBEDDING_FAILED"}
     answers = hooks.answer_prompts(rows, lambda part: [str(x) for x in picky(part)], "content", batch_items=1).collect()
-    assert [r["id"] for r in answers if r["answer_error"]] == [2]
+    assert [r["id"] for r in answers if r["answer_error"]] == [2, 6]
     parsed = hooks.parse_files(rows.select(F.col("id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content")), lambda b: [(None, str(len(b)))]).collect()
     assert [(r["doc_id"], r["error_code"]) for r in parsed if r["error_code"]] == [(6, "FILE_PARSE_FAILED")]
 
