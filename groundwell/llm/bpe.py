@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bounded_batches, rows_of, settle
+from groundwell.llm.common import bounded_batches, once_a_worker, rows_of, settle, tidied
 
 #: a boundary this close to the end of a chunk may still depend on characters beyond it (the longest contraction has 3)
 GUARD = 4
 #: ids in binary columns: little-endian unsigned 32-bit
 ID = np.dtype("<u4")
 
-_LOADED: dict[tuple[int, str], "Vocabulary"] = {}
+_LOADED: dict[tuple, "Vocabulary"] = {}
 
 
 class Vocabulary:
@@ -40,10 +40,7 @@ class Vocabulary:
     @staticmethod
     def of(shared, pattern: str) -> "Vocabulary":
         """The vocabulary of a broadcast file, read once in each worker."""
-        key = (shared._jid if hasattr(shared, "_jid") else id(shared), pattern)
-        if key not in _LOADED:
-            _LOADED[key] = Vocabulary(shared.value, pattern)
-        return _LOADED[key]
+        return once_a_worker(_LOADED, shared.value, pattern, make=lambda: Vocabulary(shared.value, pattern))
 
     def _new(self, piece: str) -> bytes:
         ids = array("I", self.piece(piece.encode())).tobytes()
@@ -179,12 +176,12 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
     shared = load(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
-    short = rows.filter(~long).mapInArrow(_encode_whole(shared, pattern), "doc_id long, ids binary")
+    short = rows.filter(~long).mapInArrow(tidied(_encode_whole(shared, pattern)), "doc_id long, ids binary")
 
     columns = "uid long, doc_id long, n int, last boolean, text string"
     chunks = settle(
-        rows.filter(long).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_cut(chunk, overlap), columns)
-        .repartition(F.col("uid"), F.col("n")).mapInArrow(_pretokenize(shared, pattern, chunk, overlap), columns + ", head array<long>, tail array<long>"),
+        rows.filter(long).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(tidied(_cut(chunk, overlap)), columns)
+        .repartition(F.col("uid"), F.col("n")).mapInArrow(tidied(_pretokenize(shared, pattern, chunk, overlap)), columns + ", head array<long>, tail array<long>"),
         "bpe-chunks",
     )
     order = Window.partitionBy("uid").orderBy("n")
@@ -192,9 +189,9 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
     met = chunks.select("uid", "n", "head", "tail").withColumn("low", meet).select("uid", "n", "low")
     met = met.withColumn("high", F.lead("low").over(order)).withColumn("apart", F.max(F.col("low").isNull()).over(Window.partitionBy("uid")))
     owned = chunks.drop("head", "tail").join(met, ["uid", "n"])
-    stitched = owned.filter(~F.col("apart")).mapInArrow(_encode_owned(shared, pattern, chunk), "uid long, doc_id long, n int, ids binary")
-    whole = owned.filter("apart").repartition("uid").sortWithinPartitions("uid", "n").mapInArrow(_encode_joined(shared, pattern, chunk), "uid long, doc_id long, n int, ids binary")
-    pieces = stitched.unionByName(whole).repartition("uid").sortWithinPartitions("uid", "n").mapInArrow(_assemble, "doc_id long, ids binary")
+    stitched = owned.filter(~F.col("apart")).mapInArrow(tidied(_encode_owned(shared, pattern, chunk)), "uid long, doc_id long, n int, ids binary")
+    whole = owned.filter("apart").repartition("uid").sortWithinPartitions("uid", "n").mapInArrow(tidied(_encode_joined(shared, pattern, chunk)), "uid long, doc_id long, n int, ids binary")
+    pieces = stitched.unionByName(whole).repartition("uid").sortWithinPartitions("uid", "n").mapInArrow(tidied(_assemble), "doc_id long, ids binary")
     return short.unionByName(pieces)
 
 
@@ -209,7 +206,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [words.decode(ids or b"") for ids in _column(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), _column(batch, "ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return tokens.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from groundwell.sources.tables import settle, shared_dir
 
-__all__ = ["settle", "shared_dir", "bounded_batches", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "hash_sample", "keep_rows", "parts_for", "slices", "MIX"]
+__all__ = ["settle", "shared_dir", "bounded_batches", "tidied", "once_a_worker", "documents", "utf8", "rows_of", "hash_words", "range_hashes", "mixed", "hash_sample", "keep_rows", "parts_for", "slices", "MIX"]
 
 #: odd multiplier of the 64-bit mixing steps
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -23,6 +25,33 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/documents.parquet")
 
 
+def tidied(run):
+    """A batch function that gives back, when its task ends, what it holds only for speed. Workers live on between the stages of an
+    application, beside a growing JVM: tables of powers, Arrow's pool and the allocator's free lists would stay with them."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own counsel
+                pass
+
+    return tidy
+
+
+def once_a_worker(cache: dict, content: bytes | str, *extra, make):
+    """make(), kept in cache under the content: of several contents a worker keeps the last only."""
+    key = (hashlib.sha256(content.encode() if isinstance(content, str) else content).digest(), *extra)
+    if key not in cache:
+        cache.clear()
+        cache[key] = make()
+    return cache[key]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 8 MB and 2,000 rows from here on: a task's Python memory does not depend on the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

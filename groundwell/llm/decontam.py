@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, bounded_batches, hash_words, mixed, slices, utf8
+from groundwell.llm.common import MIX, bounded_batches, hash_words, mixed, slices, tidied, utf8
 
 #: words of half a passage; a passage is two neighbours, so the next one begins in its middle
 HALF = 32
@@ -206,9 +206,9 @@ def latent_space(texts: DataFrame, items: list[Item], terms: Terms, rank: int, s
 
     def product(right: np.ndarray) -> np.ndarray:
         right = right.astype(np.float32)
-        parts = texts.mapInArrow(_partial_product(terms, right), "block int, part int, total binary").repartition("block").sortWithinPartitions("block", "part")
+        parts = texts.mapInArrow(tidied(_partial_product(terms, right)), "block int, part int, total binary").repartition("block").sortWithinPartitions("block", "part")
         out = np.zeros(right.shape)
-        for r in parts.mapInArrow(_add_blocks, "block int, total binary").collect():
+        for r in parts.mapInArrow(tidied(_add_blocks), "block int, total binary").collect():
             rows = np.frombuffer(r["total"], np.float32).reshape(-1, right.shape[1])
             out[r["block"] * BLOCK : r["block"] * BLOCK + len(rows)] = rows
         return out - own @ (own.T @ out)
@@ -349,13 +349,13 @@ def leaks(
         if not part:
             continue
         hashes = np.unique(np.concatenate([np.array(i.words, np.uint64) for i in part]))
-        counted = rows.select("text").mapInArrow(_document_frequencies(hashes), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        counted = rows.select("text").mapInArrow(tidied(_document_frequencies(hashes)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(len(hashes) + 1)
         for r in counted:
             counts[r["term"]] = r["n"]
         terms = Terms(hashes, np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.05)
         latent = latent_space(rows.select("text"), part, terms, rank)
-        found = found.unionByName(rows.mapInArrow(_search(part, terms, latent, cosine, contained, verbatim, similar, answered, run_words), columns))
+        found = found.unionByName(rows.mapInArrow(tidied(_search(part, terms, latent, cosine, contained, verbatim, similar, answered, run_words)), columns))
     best = F.max(F.struct("lcs_share", "answer_share", "longest_run", "cosine")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bounded_batches, shared_dir
+from groundwell.llm.common import bounded_batches, once_a_worker, shared_dir, tidied
 
 #: ids in binary columns: little-endian unsigned 32-bit
 ID = np.dtype("<u4")
 #: tokens between two checkpoints; the bits between them fit 16 bits for codes of up to 25 bits
 SEGMENT = 64
 
-_LOADED: dict[int, "WordTokenizer"] = {}
+_LOADED: dict[tuple, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
@@ -38,6 +39,10 @@ class WordTokenizer:
             raise ValueError("the tokenizer does not split a text into independent words")
         if any(t[k] for t in content["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
             raise ValueError("the tokenizer has added tokens that are not plain strings of the text")
+        if self.pattern.search(" ") or "(?=" in split["pattern"]["Regex"] or "(?!" in split["pattern"]["Regex"] or "(?<" in split["pattern"]["Regex"]:
+            raise ValueError("words of the tokenizer may depend on white space")
+        # str.split takes four control characters for white space that the Unicode property leaves out
+        self.separators, self.blanks = frozenset("\x1c\x1d\x1e\x1f"), regex.compile(r"\p{White_Space}+")
         # added tokens are cut out of the text as it is, the longest first where several begin
         self.added = {t["content"]: np.array([t["id"]], ID).tobytes() for t in content["added_tokens"]}
         self.cuts = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -47,16 +52,17 @@ class WordTokenizer:
 
     @staticmethod
     def of(shared) -> "WordTokenizer":
-        key = shared._jid if hasattr(shared, "_jid") else id(shared)
-        if key not in _LOADED:
-            _LOADED[key] = WordTokenizer(shared.value)
-        return _LOADED[key]
-
-    def _new(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.shown)
-        ids = np.array([t.id for t in self.full.model.tokenize(shown)], ID).tobytes()
-        if len(self.known) < self.remembered:
-            self.known[word] = ids
+        return once_a_worker(_LOADED, shared.value, make=lambda: WordTokenizer(shared.value))
+
+    def _new(self, run: str) -> bytes:
+        """Ids of the words of a run of text without white space, remembered for as long as there is room: frequent runs come early."""
+        ids = array("I")
+        for word in (run,) if run.isalpha() else self.pattern.findall(run):  # a run of letters is one word
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+            ids.extend([t.id for t in self.full.model.tokenize(shown)])
+        ids = ids.tobytes()
+        if len(self.known) < self.remembered and len(run) <= 64:
+            self.known[run] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -65,9 +71,16 @@ class WordTokenizer:
         return self._words(text)
 
     def _words(self, text: str) -> bytes:
-        text = text.lower() if text.isascii() else self.full.normalizer.normalize_str(text)
+        try:
+            # Latin-1 has composed letters only, each with one small form: the normalizer's work is to make letters small
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            text = self.full.normalizer.normalize_str(text)
         known, new = self.known.get, self._new
-        return b"".join([known(w) or new(w) for w in self.pattern.findall(text)])
+        # no word holds white space and none looks at what stands beside it, so runs without white space are independent
+        runs = text.split() if self.separators.isdisjoint(text) else self.blanks.split(text)
+        return b"".join([known(w) or new(w) for w in runs])
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -239,10 +252,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, limit
     raw = shared_dir(spark, "token-ids")
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-        .mapInArrow(_tokenize(shared, end, kind), "part int, seq long, before long, doc_id long, n_tokens long, ids binary").write.option("compression", "zstd").parquet(raw)
+        .mapInArrow(tidied(_tokenize(shared, end, kind)), "part int, seq long, before long, doc_id long, n_tokens long, ids binary").write.option("compression", "zstd").parquet(raw)
     )
     ids = spark.read.parquet(raw)
-    counted = ids.select("ids").mapInArrow(_count(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = ids.select("ids").mapInArrow(tidied(_count(kind, size)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
     for row in counted:
         counts[row["id"]] = row["n"]
@@ -253,7 +266,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, limit
     firsts = spark.createDataFrame([(r["part"], b) for r, b in zip(totals, before)], "part int, first long")
     packed = ids.join(F.broadcast(firsts), "part").select("part", "seq", "doc_id", "n_tokens", "ids", (F.col("first") + F.col("before")).alias("start"))
     (
-        packed.mapInArrow(_blocks(Code(lengths), kind, block), "part int, seq long, start long, doc_ids array<long>, counts array<long>, segments binary, payload binary")
+        packed.mapInArrow(tidied(_blocks(Code(lengths), kind, block)), "part int, seq long, start long, doc_ids array<long>, counts array<long>, segments binary, payload binary")
         .write.option("compression", "none").parquet(f"{path}/blocks")
     )
 
@@ -280,4 +293,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     blocks = spark.read.parquet(f"{path}/blocks").select("doc_ids", "counts", "start", "segments", "payload")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bounded_batches, hash_sample, utf8
+from groundwell.llm.common import bounded_batches, hash_sample, tidied, utf8
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: ByteConv | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("letter"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidied(_predictor(model)), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: ByteConv | None, least: float = 0.3) -> DataFrame:
@@ -222,4 +222,4 @@ def accepted(docs: DataFrame, model: ByteConv | None, least: float = 0.3) -> Dat
                 scores = next(predict(iter([pa.RecordBatch.from_arrays([ids, batch.column(at), letters], ["doc_id", "text", "letter"])]))).column(2)
                 yield batch.filter(pc.greater_equal(scores, least))
 
-    return lettered.mapInArrow(run, docs.schema)
+    return lettered.mapInArrow(tidied(run), docs.schema)

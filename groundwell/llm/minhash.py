@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, bounded_batches, hash_words, keep_rows, mixed, settle, slices, utf8
+from groundwell.llm.common import MIX, bounded_batches, hash_words, keep_rows, mixed, settle, slices, tidied, utf8
 
 SHINGLE = 5
 
@@ -137,7 +137,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(a, b) with the similarity of their texts(node, text)."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify), "a binary, b binary, similarity double")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def shared_sizes(texts: DataFrame) -> DataFrame:
 
     No text of the table overlaps another one in more than the smaller `shared` of the two.
     """
-    counted = settle(texts.select("node", "text").mapInArrow(_counted, "node binary, shingle long, n long"), "minhash-shingles")
+    counted = settle(texts.select("node", "text").mapInArrow(tidied(_counted), "node binary, shingle long, n long"), "minhash-shingles")
     alone = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.sum("n").alias("n")).filter("texts = 1").groupBy("node").agg(F.sum("n").alias("alone"))
     sizes = counted.groupBy("node").agg(F.sum("n").alias("size"))
     return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
     """
     bounded_batches(docs.sparkSession)
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = settle(texts_of.mapInArrow(_sign(bands, rows), "doc_id long, node binary, bands array<long>"), "minhash-signed")
+    signed = settle(texts_of.mapInArrow(tidied(_sign(bands, rows)), "doc_id long, node binary, bands array<long>"), "minhash-signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     owners = signed.join(nodes.select("node", F.col("doc_id").alias("first")), "node").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", F.explode("bands").alias("key")).distinct()
     buckets = owners.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
