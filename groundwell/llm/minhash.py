@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.llm.common import MIX, bounded_batches, hash_words, keep_rows, mixed, settle, slices, tidied, utf8
@@ -147,17 +147,61 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(count, pa.int64())], ["node", "shingle", "n"])
 
 
-def shared_sizes(texts: DataFrame) -> DataFrame:
-    """Of texts(node, text): node, size (shingles), shared (those that some other of these texts has too).
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """node, shingle, n of texts(node, text), written."""
+    return settle(texts.select("node", "text").mapInArrow(tidied(_counted), "node binary, shingle long, n long"), "minhash-shingles")
 
-    No text of the table overlaps another one in more than the smaller `shared` of the two.
+
+def shared_sizes(counted: DataFrame) -> DataFrame:
+    """Of counted(node, shingle, n): node, size (shingles), shared (those that some other of these nodes has too).
+
+    No node of the table overlaps another one in more than the smaller `shared` of the two.
     """
-    counted = settle(texts.select("node", "text").mapInArrow(tidied(_counted), "node binary, shingle long, n long"), "minhash-shingles")
     alone = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.sum("n").alias("n")).filter("texts = 1").groupBy("node").agg(F.sum("n").alias("alone"))
     sizes = counted.groupBy("node").agg(F.sum("n").alias("size"))
     return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def differing_pairs(nodes: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes(node, root, cluster) to compare, given counted(node, shingle, n): links among them join the same
+    nodes as all links of at least `similarity` between nodes of one cluster and of different roots would.
+
+    Each cluster has a base, the shingle occurrences that more than half of its nodes have, and each node its marks: what it
+    lacks of the base and what it has beyond it. Two nodes overlap in |base| - lacks - lacks + common marks, so the pair is a
+    link if and only if it has at least need + need common marks, where need = s / (1 + s) * size + lacks - |base| / 2.
+    Where the needs are 0 or less together, both are links of the node of least need. All others have a common mark, and
+    their first one in the order of frequency lies so early in both that enough marks follow. Marks of one node count
+    for nothing. So near copies that differ from each other in edits of their own make no pairs, however many they are.
+    """
+    share, none = similarity / (1 + similarity), F.array().cast("array<long>")
+    elements = (
+        counted.join(nodes.select("node", "cluster"), "node").select("cluster", "node", "shingle", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+        .select("cluster", "node", F.xxhash64("shingle", "i").alias("element"))
+    )
+    sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"))
+    held = elements.groupBy("cluster", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    base = held.join(sizes, "cluster").filter("2 * n > nodes").groupBy("cluster").agg(F.collect_list("element").alias("base"))
+    own = elements.groupBy("node").agg(F.collect_list("element").alias("own"))
+    both = nodes.join(own, "node").join(base, "cluster", "left").withColumn("base", F.coalesce("base", none)).withColumn("lacks", F.array_except("base", "own"))
+    need = F.size("own") * share + F.size("lacks") - F.size("base") / 2
+    marked = settle(both.select("cluster", "node", "root", need.alias("need"), F.concat("lacks", F.array_except("own", "base")).alias("marks")), "minhash-marks")
+    least = marked.groupBy("cluster").agg(F.min(F.struct("need", "node", "root")).alias("least"))
+    marked = marked.join(least, "cluster").withColumn("sure", F.expr("need + least.need <= 1e-9"))
+    stars = marked.filter("sure AND root != least.root").select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+
+    rows = marked.select("cluster", "node", F.when(F.col("sure"), F.col("least.root")).otherwise(F.col("root")).alias("root"), "need", F.col("least.need").alias("low"), F.explode("marks").alias("mark"))
+    common = rows.groupBy("cluster", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    order = Window.partitionBy("node").orderBy("n", "mark").rowsBetween(0, Window.unboundedFollowing)
+    placed = rows.join(common, ["cluster", "mark"]).withColumn("rest", F.count(F.lit(1)).over(order))  # marks from this one on
+    placed = settle(placed.filter("rest >= need + low - 1e-9").drop("n"), "minhash-placed")
+    meet = (
+        "one.cluster = two.cluster AND one.mark = two.mark AND one.root != two.root AND struct(one.need, one.node) < struct(two.need, two.node) "
+        "AND least(one.rest, two.rest) >= one.need + two.need - 1e-9"
+    )
+    near = placed.alias("one").join(placed.alias("two"), F.expr(meet)).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+    return stars.unionByName(near).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable over links(a, b), for every node that has one: (node, root). Alternating stars, written each round."""
     def mark(rows: DataFrame) -> tuple:
@@ -197,9 +241,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
 
     With 32 bands of 5 components a pair at 0.8 is missed as a candidate with probability 3e-6. Candidates are checked on
     the whole texts. A bucket of any size costs a pair per member and round: members are compared with one leader, and
-    only members of other components than the leader go on to the next. At the end the pairs of different components that
-    are left in a bucket are compared too, but for those that the triangle inequality of the distances to the first leader
-    excludes; so no link between two members of a bucket is lost.
+    only members of other components than the leader go on to the next. What is left after the rounds is joined on
+    what sets each text apart from the others of its buckets (differing_pairs), which loses no link.
     """
     bounded_batches(docs.sparkSession)
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -229,23 +272,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, r
 
     # from here on only nodes of such buckets that share enough with any other of them
     far = across(members, 0)
-    sized = shared_sizes(texts.join(far.select(F.col("b").alias("node")).distinct(), "node", "left_semi")).filter(F.col("shared") >= similarity * F.col("size"))
-    members = settle(far.select("key", "a", "b").join(sized.withColumnRenamed("node", "b"), "b"), "minhash-members")
+    counted = shingle_counts(texts.join(far.select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+    sized = shared_sizes(counted).filter(F.col("shared") >= similarity * F.col("size")).select(F.col("node").alias("b"))
+    members = settle(far.select("key", "a", "b").join(sized, "b"), "minhash-members")
     for step in range(1, rounds):
         more = across(members, step).filter("root != top").select(F.least("b", "leader").alias("a"), F.greatest("b", "leader").alias("b")).distinct()
         fresh = settle(checked(more.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts), "minhash-checked")
         roots = joined(roots, fresh.filter(F.col("similarity") >= similarity).select("a", "b"))
-    far = across(members, 0).join(compared.select("a", "b", "similarity"), ["a", "b"], "left")
-    keyed = members.groupBy("b").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # one entry a band at most
-    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("d")
-    left = settle(far.select("key", "b", "root", "size", "shared", distance).join(keyed, "b"), "minhash-left")
-    most = "least(one.shared, two.shared)"
-    may = (
-        f"one.key = two.key AND one.b < two.b AND one.root != two.root AND abs(one.d - two.d) <= {1 - similarity} + 1e-9 "
-        f"AND {most} >= {similarity} * (one.size + two.size - {most}) AND array_intersect(one.keys, two.keys)[0] = one.key"
-    )
-    rest = left.alias("one").join(left.alias("two"), F.expr(may)).select(F.col("one.b").alias("a"), F.col("two.b").alias("b"))
-    rest = rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = settle(across(members, 0).select("a", "b", "root"), "minhash-left")
+    clusters = components(left.select("a", "b")).select(F.col("node").alias("b"), F.col("root").alias("cluster"))
+    left = left.select("b", "root").distinct().join(clusters, "b", "left").select(F.col("b").alias("node"), "root", F.coalesce("cluster", "b").alias("cluster"))
+    rest = differing_pairs(left, counted, similarity).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     fresh = settle(checked(rest, texts), "minhash-checked").filter(F.col("similarity") >= similarity).select("a", "b")
     roots = joined(roots, fresh)
 

@@ -150,6 +150,44 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_differing_pairs_join_what_all_pairs_join(spark, with_base):
+    """Edited copies whose edits overlap in part, repeated words and a second group in the same cluster: the components are
+    those of all links, and copies that have only edits of their own make no pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i % 70}" for i in range(100)]
+    texts = [" ".join(base)] if with_base else []
+    for i in range(70):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(0, 25)) * 4
+            words[at] = f"v{at}" if rng.random() < 0.5 else f"u{i}x{at}"
+        texts.append(" ".join(words))
+    other = [f"o{i}" for i in range(40)]
+    texts += [" ".join(other[:k] + ["z"] + other[k:]) for k in range(0, 40, 8)]
+    texts = sorted(set(texts))
+    named = [(str(i).zfill(3).encode(), t) for i, t in enumerate(texts)]
+    counted = minhash.shingle_counts(spark.createDataFrame(named, "node binary, text string"))
+    nodes = spark.createDataFrame([(n, n, b"one") for n, _ in named], "node binary, root binary, cluster binary")
+    pairs = minhash.differing_pairs(nodes, counted, 0.8)
+    got = {(int(r["a"]), int(r["b"])) for r in pairs.collect()}
+    sets = [bags(t) for t in texts]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values()) - 1e-12}
+
+    def parts(edges):
+        label = list(range(len(sets)))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {tuple(i for i, x in enumerate(label) if x == y) for y in label}
+
+    assert parts(got & links) == parts(links) and len(got) < len(sets) * (len(sets) - 1) / 4
+    # ten copies of 400 words, each with eight changed words of its own: 0.66 alike, and no pair is made
+    own = [" ".join(f"own{i}-{k}" if k % 50 == 5 * i else f"b{k}" for k in range(400)) for i in range(10)]
+    frame = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(own)], "node binary, text string")
+    apart = frame.select("node", F.col("node").alias("root"), F.lit(b"one").alias("cluster"))
+    assert minhash.differing_pairs(apart, minhash.shingle_counts(frame), 0.8).count() == 0
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     a = {i: int(rng.integers(1, 9)) for i in range(200)}
