@@ -33,10 +33,10 @@ def _with(schema: StructType, *numbers: str) -> StructType:
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """The files of a table as a stream, under its declared schema."""
+    """The files of a table as a stream, under its declared schema. A table is one file, several files of its name, or a folder of files."""
     return (
-        spark.readStream.schema(TABLE_SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
+        spark.readStream.schema(TABLE_SCHEMAS[name]).option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(f"{directory}/{name}*.parquet")
     )
 
 
@@ -85,8 +85,9 @@ def run_until(stream: DataFrame, root: str, done: Callable[[StreamingQuery], boo
 
 
 def idle(query: StreamingQuery) -> bool:
-    """Whether a finished batch found nothing new."""
-    return any(p["numInputRows"] == 0 for p in query.recentProgress)
+    """Whether a finished batch found nothing new. The first batch of a query that goes on from a checkpoint does not tell: it may be
+    one that was planned before the query was stopped, and looks at no newer input."""
+    return any(p["numInputRows"] == 0 for p in query.recentProgress[1:])
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:

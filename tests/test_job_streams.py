@@ -1,6 +1,8 @@
 """Streams over several batches: late events, finished jobs, emitted retries, expiry, repeats, replays, versions."""
 
 import time
+from pathlib import Path
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -98,3 +100,25 @@ def test_versions_of_one_document_stay_apart_and_the_newest_batch_of_a_version_c
     stored = spark.read.parquet(f"{root}/run/chunks").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"), F.sum(F.length("content")).alias("l"))
     kept = {r["batch_id"]: (r["chunks"], r["tokens"], r["characters"]) for r in J.ingest_metrics(spark, f"{root}/run").collect()}
     assert kept == {r["batch_id"]: (r["n"], r["t"], r["l"]) for r in stored.collect()} | {2: (0, 0, 0)}
+
+
+def test_a_table_in_a_folder_of_files_is_streamed_like_one_in_a_single_file(spark):
+    rows = spark.createDataFrame([(i, f"Text number {i}.", "en", "src1", 10) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    root = shared_dir(spark, "table")
+    out = shared_dir(spark, "table-out")
+    rows.repartition(3).write.parquet(f"{root}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{root}/made")
+    part = next(Path(f"{root}/made").glob("*.parquet"))
+    Path(f"{root}/file").mkdir()
+    (Path(f"{root}/file") / "documents.parquet").write_bytes(part.read_bytes())
+    for kind in ("folder", "file"):
+        stream = J.table_stream(spark, f"{root}/{kind}", "documents", files_per_trigger=2)
+        assert sorted(r["doc_id"] for r in J.drain(stream, f"{out}/{kind}").collect()) == [*range(6)]
+
+
+def test_the_first_batch_after_a_restart_does_not_make_a_query_idle():
+    def query(*rows):
+        return SimpleNamespace(recentProgress=[{"numInputRows": n} for n in rows])
+
+    assert not J.idle(query(0)) and not J.idle(query(0, 2)) and not J.idle(query(2))
+    assert J.idle(query(0, 2, 0)) and J.idle(query(2, 0)) and J.idle(query(0, 0))
