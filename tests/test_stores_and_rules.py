@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from test_retrieval import NOW, chunk_rows, question
 
@@ -9,6 +10,7 @@ from groundwell.functions import hooks
 from groundwell.functions import text as T
 from groundwell.operators import dedup, lexical, lifecycle, rules, semantic
 from groundwell.operators.index import ChunkIndex, add_segment, prefix_terms
+from groundwell.plans.views import Corpus
 from groundwell.sources.ranges import running_total
 from groundwell.sources.tables import shared_dir, upsert_by_key
 
@@ -158,3 +160,28 @@ def test_a_failing_call_is_an_error_row_and_the_rest_goes_on(spark):
 @pytest.mark.parametrize("sizes,items,tokens,want", [([4] * 5, 2, 99, [2, 2, 1]), ([40, 40, 40], 9, 20, [2, 1]), ([400, 4], 9, 20, [1, 1]), ([], 3, 3, [])])
 def test_calls_hold_bounded_items_and_tokens(sizes, items, tokens, want):
     assert [len(p) for p in hooks._packed(["x" * n for n in sizes], items, tokens)] == want
+
+
+def test_chunks_and_postings_of_an_index_are_written_where_they_are_read(spark, monkeypatch):
+    plans = {}
+    write = DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        plans[path.split("/")[-2]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    corpus = Corpus(spark, "/root/testdata/sf0.001")
+    corpus._tables["documents"] = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = add_segment(corpus.live_line_chunks, shared_dir(spark, "index"), rows_per_part=7)
+    assert "Exchange" not in plans["chunks"] and "Exchange" not in plans["postings"]
+    held = index.postings.select("part", F.explode("seqs").alias("s")).groupBy("part").agg(F.countDistinct("s").alias("n"))
+    assert held.agg(F.max("n")).first()[0] == 7
+
+
+def test_a_part_is_bounded_and_of_one_knowledge_base(spark):
+    rows = chunk_rows(spark, [f"queue w{i}" for i in range(40)]).withColumn("kb_id", F.concat(F.lit("k"), (F.col("doc_id") % 3).cast("string"))).coalesce(1)
+    index = add_segment(rows, shared_dir(spark, "index"), rows_per_part=5)
+    held = index.postings.select("part", "kb_id", F.explode("seqs").alias("seq")).groupBy("part").agg(F.countDistinct("seq").alias("n"), F.countDistinct("kb_id").alias("kbs")).collect()
+    assert max(r["n"] for r in held) <= 5 and {r["kbs"] for r in held} == {1} and len(held) == 9
+    assert index.postings.select(F.explode("seqs").alias("seq")).distinct().count() == 40
