@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, bounded_batches, mixed, parts_for
+from groundwell.llm.common import MIX, bounded_batches, mixed, parts_for, tidied
 
 #: characters that are hashed at a time; a longer text goes through in overlapping pieces with the same result
 PIECE = 1 << 17
@@ -156,13 +154,12 @@ def edited_likeness(docs: DataFrame, k: int = 12, window: int = 20, part_bytes:
     # one key of an existing row a range; the first range begins with the very first row
     bounds = sorted({tuple(total["first"])} | {tuple(r["key"]) for r in lowest.collect()})
 
-    @F.pandas_udf("struct<part: int, head: boolean>")
-    def place(o1: pd.Series, o2: pd.Series, o3: pd.Series) -> pd.DataFrame:
-        found = [(bisect.bisect_right(bounds, key) - 1, key) for key in zip(o1.tolist(), o2.tolist(), o3.tolist(), strict=True)]
-        return pd.DataFrame({"part": [p for p, _ in found], "head": [bounds[p] == key for p, key in found]})
-
     count = len(bounds)
-    placed = rows.withColumns(dict(zip(names, _order(rows), strict=True))).withColumn("at", place(*names))
+    # no Python worker for this: a key is compared with one key a range
+    cuts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, key, strict=True)]) for key in bounds])
+    placed = rows.withColumns(dict(zip(names, _order(rows), strict=True))).withColumn("key", F.struct(*names))
+    part = F.size(F.filter(cuts, lambda cut: cut <= F.col("key"))) - 1
+    placed = placed.withColumn("at", F.struct(part.alias("part"), F.array_contains(cuts, F.col("key")).alias("head")))
     before = F.pmod(F.col("at.part") - 1, F.lit(count))
     own, ahead = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("ahead")), F.struct(before.alias("part"), F.lit(True).alias("ahead"))
     sent = placed.withColumn("to", F.explode(F.when(F.col("at.head"), F.array(own, ahead)).otherwise(F.array(own))))
@@ -187,7 +184,7 @@ def edited_likeness(docs: DataFrame, k: int = 12, window: int = 20, part_bytes:
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return ordered.mapInArrow(run, RESULT)
+    return ordered.mapInArrow(tidied(run), RESULT)
 
 
 def _compared(winnower: Winnower, doc_id: int | None, text: str, marks: tuple, after: str, after_marks: tuple) -> tuple:

@@ -91,6 +91,14 @@ def test_winnowing_of_one_row_of_odd_rows_and_of_none(spark, odd, none):
     assert winnow.fingerprints(none).count() == 0
 
 
+def test_ranges_are_dealt_without_python_and_a_task_gives_its_memory_back(spark, odd, monkeypatch):
+    wrapped = []
+    monkeypatch.setattr(winnow, "tidied", lambda run: wrapped.append(run) or run, raising=False)
+    plan = winnow.edited_likeness(odd, part_bytes=64, least_parts=3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert len(wrapped) == 1
+
+
 # --- approximation file -----------------------------------------------------------------------------------------------
 def plain_clusters(rows, k, rounds, dims, scale=64):
     kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
