@@ -185,3 +185,13 @@ def test_a_part_is_bounded_and_of_one_knowledge_base(spark):
     held = index.postings.select("part", "kb_id", F.explode("seqs").alias("seq")).groupBy("part").agg(F.countDistinct("seq").alias("n"), F.countDistinct("kb_id").alias("kbs")).collect()
     assert max(r["n"] for r in held) <= 5 and {r["kbs"] for r in held} == {1} and len(held) == 9
     assert index.postings.select(F.explode("seqs").alias("seq")).distinct().count() == 40
+
+
+def test_lines_are_collapsed_once_and_blank_ones_left_out(spark, tmp_path):
+    text = " A  b\u2003C \n\u2003\u00a0\n\t\n\nd\u00a0 E"
+    rows = [(2, text, "en", "src1"), (4, None, "en", "src1"), (6, "\u3000", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = Corpus(spark, str(tmp_path)).line_chunks
+    got = [(r["chunk_no"], r["content"], r["search_text"], r["section_title"]) for r in lines.orderBy("chunk_no").collect()]
+    assert got == [(1, " A  b\u2003C ", "a b c", "A b C"), (5, "d\u00a0 E", "d e", "d E")]
+    assert lines._jdf.queryExecution().executedPlan().toString().count("regexp_replace(line") == 1
