@@ -22,6 +22,17 @@ SEGMENT = 64
 _LOADED: dict[tuple, "WordTokenizer"] = {}
 
 
+class _Known(dict):
+    """Ids of runs of text; those of a run that it does not have are made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, run: str) -> bytes:
+        return self.make(run)
+
+
 class WordTokenizer:
     """A tokenizer file whose words do not influence each other: each distinct word is merged once and remembered."""
 
@@ -30,7 +41,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(file)
-        self.remembered, self.known = remembered, {}
+        self.model = self.full.model
+        self.remembered, self.known = remembered, _Known(self._new)
         content = json.loads(file)
         split, *rest = content["pre_tokenizer"]["pretokenizers"]
         # white space is the Unicode property here, as in the tokenizer
@@ -42,7 +54,7 @@ class WordTokenizer:
         if self.pattern.search(" ") or "(?=" in split["pattern"]["Regex"] or "(?!" in split["pattern"]["Regex"] or "(?<" in split["pattern"]["Regex"]:
             raise ValueError("words of the tokenizer may depend on white space")
         # str.split takes four control characters for white space that the Unicode property leaves out
-        self.separators, self.blanks = frozenset("\x1c\x1d\x1e\x1f"), regex.compile(r"\p{White_Space}+")
+        self.separators, self.blanks = "\x1c\x1d\x1e\x1f", regex.compile(r"\p{White_Space}+")
         # added tokens are cut out of the text as it is, the longest first where several begin
         self.added = {t["content"]: np.array([t["id"]], ID).tobytes() for t in content["added_tokens"]}
         self.cuts = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -54,14 +66,22 @@ class WordTokenizer:
     def of(shared) -> "WordTokenizer":
         return once_a_worker(_LOADED, shared.value, make=lambda: WordTokenizer(shared.value))
 
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _new(self, run: str) -> bytes:
-        """Ids of the words of a run of text without white space, remembered for as long as there is room: frequent runs come early."""
-        ids = array("I")
-        for word in (run,) if run.isalpha() else self.pattern.findall(run):  # a run of letters is one word
-            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
-            ids.extend([t.id for t in self.full.model.tokenize(shown)])
-        ids = ids.tobytes()
-        if len(self.known) < self.remembered and len(run) <= 64:
+        """Ids of a run of text without white space, from those of its words. Frequent ones come early and are remembered: words for as
+        long as there is room, runs of several words for as long as half of it is left."""
+        if run.isalpha():  # a run of letters is one word
+            words = (run,)
+        elif run[-1:].isascii() and run[:-1].isalpha():  # so is what stands before a single other character
+            words = run[:-1], run[-1]
+        else:
+            words = self.pattern.findall(run)
+        one = len(words) == 1
+        ids = self._word(run) if one else b"".join(map(self.known.__getitem__, words))
+        if len(self.known) < (self.remembered if one else self.remembered // 2) and len(run) <= 64:
             self.known[run] = ids
         return ids
 
@@ -77,10 +97,9 @@ class WordTokenizer:
             text = text.lower()
         except UnicodeEncodeError:
             text = self.full.normalizer.normalize_str(text)
-        known, new = self.known.get, self._new
         # no word holds white space and none looks at what stands beside it, so runs without white space are independent
-        runs = text.split() if self.separators.isdisjoint(text) else self.blanks.split(text)
-        return b"".join([known(w) or new(w) for w in runs])
+        runs = self.blanks.split(text) if any(x in text for x in self.separators) else text.split()
+        return b"".join(map(self.known.__getitem__, runs))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -190,10 +209,7 @@ def _count(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(ids, kind), minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(counts, np.frombuffer(ids, kind), 1)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
 

@@ -4,7 +4,7 @@ import base64
 import collections
 import hashlib
 import re
-
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as tokenizers
@@ -254,6 +254,18 @@ def test_token_files_equal_the_library(odd, none, tmp_path):
     assert huffman.read_tokens(odd.sparkSession, str(tmp_path / "b")).count() == 0
 
 
+def test_a_word_is_merged_once_whatever_stands_beside_it():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    words, own = huffman.WordTokenizer(Path(path).read_text()), Tokenizer.from_file(path)
+    merged = []
+    merge, words._word = words._word, lambda word: merged.append(word) or merge(word)
+    text = "zyxq, zyxq. (zyxq) zyxq's zyxq\x1czyxq zyxq\u00a0zyxq, \u00e9tud\u00e9, \u00e9tud\u00e9! \u4e2d\u6587\u3002 zyxq7 77"
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged))
+
+
 def test_added_tokens_in_a_text_get_their_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
