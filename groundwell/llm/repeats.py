@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, _powers, bounded_batches, mixed, utf8
+from groundwell.llm.common import MIX, _powers, bounded_batches, mixed, tidied, utf8
 
 LENGTH = 50
 GRAM = 28
@@ -72,6 +72,26 @@ def _anchors_of(column: pa.Array):
     return data, offsets, tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _place_of(gram: np.ndarray, bits: int) -> np.ndarray:
+    """Place of a gram in the filter. Anchors have the smallest hashes of their strings, so these are mixed again: as they are, they
+    would crowd the first places, and most grams would share one."""
+    return mixed(gram ^ MIX) >> np.uint64(64 - bits)
+
+
+def _coded(code: np.ndarray) -> bytes:
+    """Ascending codes as steps of two bytes, or as they are (four bytes) if a step is larger; the first byte tells which."""
+    steps = np.diff(code, prepend=code[:1])
+    if len(code) and steps.max() < 1 << 16:
+        return b"\2" + code[:1].astype("<u4").tobytes() + steps[1:].astype("<u2").tobytes()
+    return b"\4" + code.astype("<u4").tobytes()
+
+
+def _decoded(content: bytes) -> np.ndarray:
+    if content[:1] == b"\4":
+        return np.frombuffer(content, "<u4", offset=1)
+    return np.cumsum(np.r_[np.frombuffer(content, "<u4", 1, 1), np.frombuffer(content, "<u2", offset=5)].astype(np.int64))
+
+
 def _grams(bits: int, parts: int):
     """Gram bits of a batch by part of the filter: each once, with a mark if two documents of the batch have it."""
     width = bits - int(np.log2(parts))
@@ -81,14 +101,14 @@ def _grams(bits: int, parts: int):
             pairs = []
             for begun, batch in _slices(whole, 1):
                 text, _, gram, _, _ = _anchors_of(batch.column(1))[2]
-                pairs.append(np.unique((gram >> np.uint64(64 - bits)) << np.uint64(24) | (text + begun).astype(np.uint64)))
+                pairs.append(np.unique(_place_of(gram, bits) << np.uint64(24) | (text + begun).astype(np.uint64)))
             bit = np.sort(np.concatenate(pairs) >> np.uint64(24)) if pairs else np.zeros(0, np.uint64)
             first = np.flatnonzero(np.r_[True, bit[1:] != bit[:-1]]) if len(bit) else np.zeros(0, np.int64)
             twice = np.diff(np.append(first, len(bit))) > 1
             bit = bit[first]
-            code = ((bit & np.uint64((1 << width) - 1)) << np.uint64(1) | twice.astype(np.uint64)).astype("<u4")
+            code = ((bit & np.uint64((1 << width) - 1)) << np.uint64(1) | twice.astype(np.uint64)).astype(np.int64)
             cuts = np.searchsorted(bit >> np.uint64(width), np.arange(parts + 1, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["part", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([_coded(code[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["part", "codes"])
 
     return run
 
@@ -108,7 +128,7 @@ def _filter_parts(width: int):
                     if part is not None:
                         yield row()
                     part, once, more = p, np.zeros(1 << width, bool), np.zeros(1 << width, bool)
-                code = np.frombuffer(codes, "<u4")
+                code = _decoded(codes)
                 at = code >> 1
                 more[at] |= once[at] | (code & 1).astype(bool)
                 once[at] = True
@@ -119,7 +139,8 @@ def _filter_parts(width: int):
 
 
 def shared_grams(rows: DataFrame, bits: int, parts: int = 64) -> bytes:
-    """A bitmap of 2^bits places with all grams that two documents share (and a few others). Its size does not grow with the table."""
+    """A bitmap of 2^bits places with all grams that two documents share (and a few others), compressed: each executor stores a copy.
+    Its size does not grow with the table beyond that of the bitmap."""
     width = bits - int(np.log2(parts))
     found = (
         rows.select("doc", "text").mapInArrow(_grams(bits, parts), "part int, codes binary").repartition(parts, "part").sortWithinPartitions("part")
@@ -129,30 +150,37 @@ def shared_grams(rows: DataFrame, bits: int, parts: int = 64) -> bytes:
     size = 1 << (width - 3)
     for r in found:
         out[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
-    return bytes(out)
+    return pa.compress(out, codec="zstd", asbytes=True)
+
+
+def _bitmap(shared, bits: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(shared.value, decompressed_size=1 << (bits - 3), codec="zstd"), np.uint8)
 
 
-def _suffixes(shared, bits: int):
-    """Rows of the anchors whose gram is shared: the bytes before it and from it on, as far as its strings reach."""
+def _suffixes(shared, bits: int, bitmap: np.ndarray | None = None):
+    """Rows of the anchors whose gram is shared: the bytes before it and behind its gram, as far as its strings reach.
+
+    `at` holds the place (from bit 10), and the distances of the first and the last string before it (5 bits each).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
+        known = _bitmap(shared, bits) if bitmap is None else bitmap
         for whole in batches:
             for _, batch in _slices(whole, 1):
                 data, offsets, (text, place, gram, low, high) = _anchors_of(batch.column(1))
-                bit = (gram >> np.uint64(64 - bits)).astype(np.int64)
+                bit = _place_of(gram, bits).astype(np.int64)
                 on = (known[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
                 text, place, gram, low, high = text[on], place[on], gram[on], low[on], high[on]
                 raw = data.tobytes()
                 left = [raw[a:b] for a, b in zip(low.tolist(), place.tolist(), strict=True)]
-                right = [raw[a:b] for a, b in zip(place.tolist(), (high + LENGTH).tolist(), strict=True)]
+                right = [raw[a:b] for a, b in zip((place + GRAM).tolist(), (high + LENGTH).tolist(), strict=True)]
                 index = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(gram.view(np.int64)), pa.array(left, pa.binary()), pa.array(right, pa.binary()), batch.column(0).take(index), batch.column(2).take(index),
-                        pa.array(place - offsets[text], pa.int64()), pa.array(place - low, pa.int32()), pa.array(place - high, pa.int32()),
+                        pa.array((place - offsets[text]) << 10 | (place - low) << 5 | (place - high), pa.int64()),
                     ],
-                    ["gram", "left", "right", "doc", "row", "place", "most", "least"],
+                    ["gram", "left", "right", "doc", "row", "at"],
                 )
 
     return run
@@ -162,8 +190,9 @@ def _contexts(shared, bits: int):
     """The distinct contexts of a batch with the smallest and largest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = _bitmap(shared, bits)
         for whole in batches:
-            rows = pa.Table.from_batches(list(_suffixes(shared, bits)(iter([whole]))), None) if whole.num_rows else None
+            rows = pa.Table.from_batches(list(_suffixes(shared, bits, bitmap)(iter([whole]))), None) if whole.num_rows else None
             if rows is not None and rows.num_rows:
                 found = rows.group_by(["gram", "left", "right"]).aggregate([("doc", "min"), ("doc", "max")]).select(["gram", "left", "right", "doc_min", "doc_max"])
                 yield from found.rename_columns(["gram", "left", "right", "doc", "top"]).to_batches(max_chunksize=20_000)
@@ -171,7 +200,7 @@ def _contexts(shared, bits: int):
     return run
 
 
-SUFFIXES = "gram long, left binary, right binary, doc long, row long, place long, most int, least int"
+SUFFIXES = "gram long, left binary, right binary, doc long, row long, at long"
 
 
 def _induced(gram: np.ndarray, left: list[bytes], right: list[bytes], doc: np.ndarray) -> np.ndarray:
@@ -179,16 +208,17 @@ def _induced(gram: np.ndarray, left: list[bytes], right: list[bytes], doc: np.nd
 
     Neighbours carry the length of their common prefix. The strings that begin at a distance d before the anchor are
     induced from it: two are equal when the d bytes before the anchor are (known from distance d - 1 and one more byte)
-    and the suffixes at the anchor share 50 - d bytes, which the common prefixes of the sorted order tell.
+    and the suffixes at the anchor share 50 - d bytes, which the common prefixes of the sorted order tell. `right` begins
+    behind the gram, which is the same for all contexts of one hash.
     """
     n = len(gram)
-    size = np.array([len(x) for x in right])
-    after = np.frombuffer(b"".join(x.ljust(LENGTH, b"\0") for x in right), np.uint8).reshape(n, LENGTH)
+    size = GRAM + np.array([len(x) for x in right])
+    after = np.frombuffer(b"".join(x.ljust(REACH, b"\0") for x in right), np.uint8).reshape(n, REACH)
     most = np.array([len(x) for x in left])
     before = np.frombuffer(b"".join(x.rjust(REACH, b"\0") for x in left), np.uint8).reshape(n, REACH)
     least = LENGTH - size
     prefix = np.zeros(n, np.int64)  # shared with the row before
-    prefix[1:] = np.where(gram[1:] == gram[:-1], np.minimum.accumulate(after[1:] == after[:-1], axis=1).sum(1), -1)
+    prefix[1:] = np.where(gram[1:] == gram[:-1], GRAM + np.minimum.accumulate(after[1:] == after[:-1], axis=1).sum(1), -1)
     prefix[0] = -1
     masks, ahead = np.zeros(n, np.int64), np.zeros(n, np.uint64)
     for d in range(REACH + 1):
@@ -237,26 +267,25 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the marks of their anchors: what is left, and the counts."""
+    """Texts with the marks of their anchors (place and mask): what is left, and the counts."""
     for whole in batches:
-        ids, sizes, removed, spans, kept = [], [], [], [], []
-        for doc_id, text, marks in zip(*[c.to_pylist() for c in whole.columns], strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            covered = np.zeros(len(data) + 1, np.int64)
-            for m in marks or ():
-                begins = [m["place"] - d for d in range(REACH + 1) if m["mask"] >> d & 1]
-                np.add.at(covered, begins, 1)
-                np.add.at(covered, [b + LENGTH for b in begins], -1)
+        sizes, removed, spans, kept = [], [], [], []
+        (raw, offsets), marks = utf8(whole.column(1)), whole.column(2)
+        ends, flat = marks.offsets.to_numpy(), marks.values.to_numpy()
+        for t in range(whole.num_rows):
+            data, mark = raw[offsets[t] : offsets[t + 1]], flat[ends[t] : ends[t + 1]]
+            at, distance = np.nonzero(mark[:, None] >> np.arange(REACH + 1) & 1)
+            begins = (mark[at] >> (REACH + 1)) - distance
+            covered = np.bincount(begins, minlength=len(data) + 1) - np.bincount(begins + LENGTH, minlength=len(data) + 1)
             gone = np.cumsum(covered[:-1]) > 0
-            ids.append(doc_id)
             sizes.append(len(data))
             removed.append(int(gone.sum()))
             spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
             kept.append(data[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([whole.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, bits: int = 28) -> DataFrame:
+def remove_repeats(docs: DataFrame, bits: int = 29) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes).
 
     A byte goes if a string of 50 bytes that covers it also begins in a document of smaller doc_id; strings are judged on
@@ -264,8 +293,8 @@ def remove_repeats(docs: DataFrame, bits: int = 28) -> DataFrame:
     are one document. Texts of under 50 bytes stay whole. Other columns are ignored.
 
     Suffixes are sorted sparsely. Each string has one anchor that depends on its bytes alone. Grams at anchors that no two
-    documents share are dropped by a bitmap of 2^bits places, whose size is fixed (32 MB); it only spares work and loses
-    nothing. The suffixes at the other anchors, with equal contexts of a batch combined first, are sorted by Spark, which spills to
+    documents share are dropped by a bitmap of 2^bits places, whose size is fixed (64 MB); it only spares work and loses
+    nothing. Grams count as equal if their 64-bit hashes are. The suffixes at the other anchors, with equal contexts of a batch combined first, are sorted by Spark, which spills to
     disk; in that order neighbours carry their common prefixes, and the strings that begin before an anchor are induced
     from it byte by byte. The distinct contexts of one gram meet in one task.
     """
@@ -275,18 +304,17 @@ def remove_repeats(docs: DataFrame, bits: int = 28) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("row"))
     shared = spark.sparkContext.broadcast(shared_grams(rows, bits))
     context = F.xxhash64("gram", "left", "right")
-    suffixes = rows.mapInArrow(_suffixes(shared, bits), SUFFIXES).withColumn("context", context)
-    contexts = rows.mapInArrow(_contexts(shared, bits), "gram long, left binary, right binary, doc long, top long").withColumn("context", context)
+    suffixes = rows.mapInArrow(tidied(_suffixes(shared, bits)), SUFFIXES).select(context.alias("context"), "doc", "row", "at")
+    contexts = rows.mapInArrow(tidied(_contexts(shared, bits)), "gram long, left binary, right binary, doc long, top long")
     induced = (
-        contexts.repartition("gram").sortWithinPartitions("gram", "right", "left")
-        .mapInArrow(_induce, "context long, first long, docs boolean, mask long").filter("docs OR mask != 0")
+        contexts.repartition("gram").withColumn("context", context).sortWithinPartitions("gram", "right", "left")
+        .mapInArrow(tidied(_induce), "context long, first long, docs boolean, mask long").filter("docs OR mask != 0")
     )
     # a copy of a context in a later document goes as a whole; in the first document only what the mask says
-    all_of = F.expr("shiftleft(1L, most + 1) - shiftleft(1L, least)")
+    all_of = F.expr("shiftleft(1L, int(shiftright(at, 5) & 31) + 1) - shiftleft(1L, int(at & 31))")
     marks = (
-        suffixes.select("context", "doc", "row", "place", "most", "least").join(induced, "context")
-        .withColumn("mask", F.when(F.col("doc") > F.col("first"), all_of).otherwise(F.col("mask"))).filter("mask != 0")
-        .groupBy("doc", "row").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+        suffixes.join(induced, "context").withColumn("mask", F.when(F.col("doc") > F.col("first"), all_of).otherwise(F.col("mask"))).filter("mask != 0")
+        .groupBy("doc", "row").agg(F.collect_list(F.expr(f"shiftleft(shiftright(at, 10), {REACH + 1}) | mask")).alias("marks"))
     )
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"))
-    return whole.join(marks, ["doc", "row"], "left").select("doc_id", "text", "marks").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.join(marks, ["doc", "row"], "left").select("doc_id", "text", "marks").mapInArrow(tidied(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

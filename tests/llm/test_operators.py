@@ -229,6 +229,21 @@ def test_repeats_against_brute_force(spark, odd, none):
     assert repeats.remove_repeats(none, 20).count() == 0
 
 
+def test_texts_that_share_nothing_send_few_suffixes(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.integers(97, 123, 1500).astype(np.uint8).tobytes().decode(), i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc long, text string, row long")
+    shared = spark.sparkContext.broadcast(repeats.shared_grams(docs, 20))
+    total = sum(len(repeats._anchors_of(pa.array([text]))[2][0]) for _, text, _ in rows)
+    assert docs.mapInArrow(repeats._suffixes(shared, 20), repeats.SUFFIXES).count() < 0.15 * total
+
+
+@given(st.lists(st.integers(0, 2**24), unique=True), st.sampled_from([1, 1 << 12]))
+def test_codes_are_read_as_they_were_written(codes, scale):
+    codes = np.unique(np.array(codes, np.int64) // scale)
+    assert repeats._decoded(repeats._coded(codes)).tolist() == codes.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=160).map(lambda b: bytes(97 + x % 2 for x in b).decode()), min_size=1, max_size=4))
 def test_each_string_has_one_anchor(texts):
