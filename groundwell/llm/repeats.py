@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import MIX, _powers, bounded_batches, mixed, tidied, utf8
+from groundwell.llm.common import MIX, _powers, bounded_batches, mixed, settle, tidied, utf8
 
 LENGTH = 50
 GRAM = 28
@@ -50,10 +50,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _slices(batch: pa.RecordBatch, column: int):
-    """Parts of at most some 8 MB, or one text; places fit 24 bits for texts of up to 16 MB, longer ones are cut with an overlap."""
+    """Parts of about 256 KB, whose arrays stay in the processor's cache, or one text; places fit 24 bits for texts of up to 16 MB,
+    longer ones are cut with an overlap."""
     begun, (_, offsets) = 0, utf8(batch.column(column))
     while begun < batch.num_rows:
-        end = max(begun + 1, int(np.searchsorted(offsets, offsets[begun] + (1 << 21), "right")) - 1)
+        end = max(begun + 1, int(np.searchsorted(offsets, offsets[begun] + (1 << 18), "right")) - 1)
         yield begun, batch.slice(begun, end - begun)
         begun = end
 
@@ -144,11 +145,11 @@ def shared_grams(rows: DataFrame, bits: int, parts: int = 64) -> bytes:
     width = bits - int(np.log2(parts))
     found = (
         rows.select("doc", "text").mapInArrow(_grams(bits, parts), "part int, codes binary").repartition(parts, "part").sortWithinPartitions("part")
-        .mapInArrow(_filter_parts(width), "part int, bits binary").toLocalIterator()
+        .mapInArrow(_filter_parts(width), "part int, bits binary")
     )
     out = bytearray(1 << (bits - 3))
     size = 1 << (width - 3)
-    for r in found:
+    for r in settle(found, "repeats-filter").toLocalIterator():  # written, which frees the shuffled codes
         out[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
     return pa.compress(out, codec="zstd", asbytes=True)
 
@@ -203,23 +204,30 @@ def _contexts(shared, bits: int):
 SUFFIXES = "gram long, left binary, right binary, doc long, row long, at long"
 
 
-def _induced(gram: np.ndarray, left: list[bytes], right: list[bytes], doc: np.ndarray) -> np.ndarray:
+def _sides(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes before the anchors as rows that end together, bytes behind the grams as rows that begin together, and their counts."""
+    step = np.arange(REACH)
+    (data, offsets), (more, begins) = utf8(left), utf8(right)
+    most, size = np.diff(offsets), np.diff(begins)
+    data, more = np.r_[np.zeros(REACH, np.uint8), data], np.r_[more, np.zeros(REACH, np.uint8)]
+    before = np.where(step >= REACH - most[:, None], data[offsets[1:, None] + step], np.uint8(0))
+    after = np.where(step < size[:, None], more[begins[:-1, None] + step], np.uint8(0))
+    return before, most, after, size
+
+
+def _induced(gram: np.ndarray, before: np.ndarray, most: np.ndarray, after: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For contexts sorted by (gram, right): a bit for each distance at which the string also begins in a smaller document.
 
     Neighbours carry the length of their common prefix. The strings that begin at a distance d before the anchor are
     induced from it: two are equal when the d bytes before the anchor are (known from distance d - 1 and one more byte)
-    and the suffixes at the anchor share 50 - d bytes, which the common prefixes of the sorted order tell. `right` begins
-    behind the gram, which is the same for all contexts of one hash.
+    and the suffixes at the anchor share 50 - d bytes, which the common prefixes of the sorted order tell. The right bytes
+    begin behind the gram, which is the same for all contexts of one hash.
     """
     n = len(gram)
-    size = GRAM + np.array([len(x) for x in right])
-    after = np.frombuffer(b"".join(x.ljust(REACH, b"\0") for x in right), np.uint8).reshape(n, REACH)
-    most = np.array([len(x) for x in left])
-    before = np.frombuffer(b"".join(x.rjust(REACH, b"\0") for x in left), np.uint8).reshape(n, REACH)
-    least = LENGTH - size
+    least = REACH - size
     prefix = np.zeros(n, np.int64)  # shared with the row before
     prefix[1:] = np.where(gram[1:] == gram[:-1], GRAM + np.minimum.accumulate(after[1:] == after[:-1], axis=1).sum(1), -1)
-    prefix[0] = -1
+    prefix[:1] = -1
     masks, ahead = np.zeros(n, np.int64), np.zeros(n, np.uint64)
     for d in range(REACH + 1):
         if d:
@@ -237,31 +245,38 @@ def _induced(gram: np.ndarray, left: list[bytes], right: list[bytes], doc: np.nd
     return masks
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct contexts with their masks; the last gram of a batch waits for the next one."""
+def _induce(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct contexts with their masks, about `most` at a time, whole grams; the last gram waits for what follows."""
     held: list[pa.RecordBatch] = []
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        gram, left, right = table.column(0).to_numpy(), table.column(1).to_pylist(), table.column(2).to_pylist()
-        same = [False, *(a == b and c == d for a, b, c, d in zip(left[1:], left, right[1:], right))]  # copies that other tasks have too
-        first = np.flatnonzero(~(np.array(same) & np.r_[False, gram[1:] == gram[:-1]]))
+        gram, sides = table.column(0).to_numpy(), _sides(table.column(1), table.column(2))
+        new = np.ones(table.num_rows, bool)  # not a copy that another task has too
+        new[1:] = gram[1:] != gram[:-1]
+        for x in sides:
+            x = x.reshape(len(x), -1)
+            new[1:] |= (x[1:] != x[:-1]).any(1)
+        first = np.flatnonzero(new)
         doc, top = np.minimum.reduceat(table.column(3).to_numpy(), first), np.maximum.reduceat(table.column(4).to_numpy(), first)
-        masks = _induced(gram[first], [left[i] for i in first], [right[i] for i in first], doc)
+        gram, masks = gram[first], np.zeros(len(first), np.int64)
+        again = gram[1:] == gram[:-1]
+        several = np.flatnonzero(np.r_[again, False] | np.r_[False, again])  # the only context of a gram has nobody before it
+        masks[several] = _induced(gram[several], *(x[first[several]] for x in sides), doc[several])
         return pa.RecordBatch.from_arrays([table.column(5).take(pa.array(first)), pa.array(doc), pa.array(top > doc), pa.array(masks)], ["context", "first", "docs", "mask"])
 
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         gram = batch.column(0).to_numpy()
         cut = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if gram[0] != gram[-1] else 0
-        if held and gram[0] != held[-1].column(0)[-1].as_py():
-            yield done(held)
-            held = []
-        if cut:
+        whole = cut > 0 or (held and gram[0] != held[-1].column(0)[-1].as_py())  # what comes before the cut is whole grams
+        if whole and count + cut >= most:
             yield done([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
+            held, count, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        count += batch.num_rows
     if held:
         yield done(held)
 
@@ -306,9 +321,11 @@ def remove_repeats(docs: DataFrame, bits: int = 29) -> DataFrame:
     context = F.xxhash64("gram", "left", "right")
     suffixes = rows.mapInArrow(tidied(_suffixes(shared, bits)), SUFFIXES).select(context.alias("context"), "doc", "row", "at")
     contexts = rows.mapInArrow(tidied(_contexts(shared, bits)), "gram long, left binary, right binary, doc long, top long")
-    induced = (
+    # written before the places of anchors are shuffled: the contexts, the largest part of what is sent, are gone by then
+    induced = settle(
         contexts.repartition("gram").withColumn("context", context).sortWithinPartitions("gram", "right", "left")
-        .mapInArrow(tidied(_induce), "context long, first long, docs boolean, mask long").filter("docs OR mask != 0")
+        .mapInArrow(tidied(_induce), "context long, first long, docs boolean, mask long").filter("docs OR mask != 0"),
+        "repeats-induced",
     )
     # a copy of a context in a later document goes as a whole; in the first document only what the mask says
     all_of = F.expr("shiftleft(1L, int(shiftright(at, 5) & 31) + 1) - shiftleft(1L, int(at & 31))")

@@ -229,6 +229,24 @@ def test_repeats_against_brute_force(spark, odd, none):
     assert repeats.remove_repeats(none, 20).count() == 0
 
 
+def test_contexts_are_gone_before_places_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven " * 3) for i in range(4)], "doc_id long, text string")
+    plan = repeats.remove_repeats(docs, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # places of anchors and the cut; contexts and induction are written
+
+
+def test_induction_does_not_depend_on_how_rows_are_batched():
+    rng = np.random.default_rng(7)
+    strings = [bytes(97 + rng.integers(0, 2, int(rng.integers(0, repeats.REACH + 1))).astype(np.uint8)) for _ in range(12)]
+    pick = lambda: strings[int(rng.integers(len(strings)))]
+    rows = sorted((int(rng.integers(0, 60)), pick(), pick(), int(rng.integers(0, 9))) for _ in range(400))
+    gram, right, left, doc = zip(*rows)
+    table = pa.table({"gram": gram, "left": left, "right": right, "doc": doc, "top": [d + i % 2 for i, d in enumerate(doc)], "context": [hash(r[:3]) for r in rows]})
+    found = [pa.Table.from_batches(list(repeats._induce(iter(table.to_batches(max_chunksize=size)), most))) for size, most in ((400, 1), (1, 1), (7, 30), (7, 1 << 14))]
+    assert found[0].num_rows == len({r[:3] for r in rows}) and all(f.equals(found[0]) for f in found)
+    assert repeats._induce(iter([])) and not list(repeats._induce(iter(table.slice(0, 0).to_batches())))
+
+
 def test_texts_that_share_nothing_send_few_suffixes(spark):
     rng = np.random.default_rng(11)
     rows = [(i, rng.integers(97, 123, 1500).astype(np.uint8).tobytes().decode(), i) for i in range(400)]

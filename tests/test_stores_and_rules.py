@@ -1,5 +1,7 @@
 """The stored index and chunk table, duplicates under skew, upserts, compatibility forms, hooks that fail."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -12,7 +14,7 @@ from groundwell.operators import dedup, lexical, lifecycle, rules, semantic
 from groundwell.operators.index import ChunkIndex, add_segment, prefix_terms
 from groundwell.plans.views import Corpus
 from groundwell.sources.ranges import running_total
-from groundwell.sources.tables import shared_dir, upsert_by_key
+from groundwell.sources.tables import settle, shared_dir, upsert_by_key
 
 
 def files_below(spark, path):
@@ -26,6 +28,25 @@ def files_below(spark, path):
     return out
 
 
+def shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {n for n in names if "/shuffle_" in n}
+
+
+# --- written results --------------------------------------------------------------------------------------------------
+def test_a_written_result_leaves_no_shuffle_files(spark):
+    rows = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    rows = rows.join(rows.withColumnRenamed("count", "again"), "k").repartition("again")
+    before = shuffle_files(spark)
+    kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    written = settle(rows, "test")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and written.count() == 700 and rows.count() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
 # --- index ------------------------------------------------------------------------------------------------------------
 def test_running_total_over_ranges(spark):
     rows = spark.createDataFrame([(i * 37 % 101, i) for i in range(300)], "k int, w int").repartition(5)
