@@ -7,7 +7,9 @@ repeated batch overwrites itself, and bounds a batch by `maxFilesPerTrigger`.
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from threading import Event, Lock
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from groundwell.sources.tables import TABLE_SCHEMAS
 
 COMPLETED_KEPT_S = 3600
 FAILED_KEPT_S = 86400
+#: a batch reads the state of the buckets that its jobs fall into
+JOB_BUCKETS = 1 << 14
 #: state variables with timers and a time to live need this store
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,13 +58,31 @@ def drain(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(_with(stream.schema, "batch_id")).parquet(f"{root}/out")
 
 
+def _worked(batch: dict) -> bool:
+    """Whether a finished batch took in rows or changed state, as timers that fire do."""
+    return batch["numInputRows"] > 0 or any(o["numRowsUpdated"] or o["numRowsRemoved"] for o in batch["stateOperators"])
+
+
 def run_until(stream: DataFrame, root: str, done: Callable[[StreamingQuery], bool], every: str = "1 second", limit_s: float = 300.0) -> DataFrame:
     """Run a stream that has timers until `done(query)` holds, and return its output with `batch_id`. Timers of the clock
-    keep asking for batches, so such a query does not end by itself: whoever runs it says when."""
+    keep asking for batches, so such a query does not end by itself: whoever runs it says when. A query that has nothing to do for
+    `limit_s` fails; one that is still at work does not, however long its batches take. No batch is written while `done` is asked, so
+    it sees whole batches, and must not wait for one. The query is stopped between two batches, since Spark ends an executor whose
+    stateful task is killed; a batch that was planned by then runs when the query goes on."""
     spark = stream.sparkSession
+    writing, stopped = Lock(), Event()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        with writing:
+            if stopped.is_set():  # an error, so that the batch does not count as done
+                raise InterruptedError(f"the query was stopped before batch {batch_id}")
+            batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    def finished() -> bool:
+        with writing:
+            if done(query):
+                stopped.set()
+        return stopped.is_set()
 
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -71,15 +93,22 @@ def run_until(stream: DataFrame, root: str, done: Callable[[StreamingQuery], boo
         )
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    ends = time.monotonic() + limit_s
+    ends, worked, ended = time.monotonic() + limit_s, [], []
     try:
-        while not done(query):
+        while not finished():
             if query.exception() is not None:
                 raise query.exception()
-            if time.monotonic() > ends:
-                raise TimeoutError(f"the stream was not done after {limit_s} s")
+            times = [(p["timestamp"], _worked(p)) for p in query.recentProgress]
+            if worked != (worked := [t for t, work in times if work][-1:]):
+                ends = time.monotonic() + limit_s
+            # what a running batch does shows when it ends
+            if ended != (ended := times[-1:]) or not query.status["isTriggerActive"]:
+                if time.monotonic() > ends:
+                    raise TimeoutError(f"the stream was not done after {limit_s} s without work")
             time.sleep(0.2)
     finally:
+        with writing:
+            stopped.set()
         query.stop()
     return spark.read.schema(_with(stream.schema, "batch_id")).parquet(f"{root}/out")
 
@@ -112,61 +141,94 @@ def _transition(status: str, attempts: int, event: str, max_attempts: int) -> tu
     return ("COMPLETED" if event == "success" else "FAILED"), attempts
 
 
+_ENTRY = "job_id array<bigint>, status array<string>, attempts array<int>, changed_us array<bigint>"
+
+
+def _columns(rows: list[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows)))
+
+
 class JobMachine(StatefulProcessor):
-    """State of one job: its live entry while it runs, the queue entry of a finished one for as long as it is kept, and a mark
-    that it is finished, for good."""
+    """State of the jobs of one bucket: their live entries while they run, the queue entries of finished ones for as long as they are
+    kept, and marks that they are finished, for good. Every call for state is a round trip to the JVM, so a bucket's
+    jobs are read and written together, a list a column."""
 
     def __init__(self, max_attempts: int, backoff_ms: int, completed_ms: int, failed_ms: int):
         self.max_attempts, self.backoff_ms = max_attempts, backoff_ms
         self.kept_ms = {"COMPLETED": completed_ms, "FAILED": failed_ms, "DEAD_LETTER": failed_ms}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = "status string, attempts int, changed_us bigint"
         self.handle = handle
-        self.live = handle.getValueState("live", entry + ", due_ms bigint")
-        # entries fall away by themselves; completed and failed ones are kept for different times
-        self.completed = handle.getValueState("completed", entry, self.kept_ms["COMPLETED"])
-        self.failed = handle.getValueState("failed", entry, self.kept_ms["FAILED"])
-        self.finished = handle.getValueState("finished", "status string")
+        self.live = handle.getValueState("live", _ENTRY + ", due_ms array<bigint>")
+        # entries fall away by themselves, those of a batch together; completed and failed ones are kept for different times
+        self.completed = handle.getListState("completed", _ENTRY, self.kept_ms["COMPLETED"])
+        self.failed = handle.getListState("failed", _ENTRY, self.kept_ms["FAILED"])
+        self.finished = handle.getValueState("finished", "job_id array<bigint>")
 
-    def _row(self, key: tuple, kind: str, status: str, attempts: int, changed: int, wait_ms: int = 0) -> Row:
+    def _row(self, job: int, kind: str, status: str, attempts: int, changed: int, wait_ms: int = 0) -> Row:
         kept = self.kept_ms.get(status, 0)
         return Row(
-            job_id=key[0], kind=kind, status=status, attempts=attempts, changed_us=changed,
+            job_id=job, kind=kind, status=status, attempts=attempts, changed_us=changed,
             retry_at_us=changed + wait_ms * 1000 if wait_ms else 0, expires_us=changed + kept * 1000 if kept else 0,
         )
 
+    def _alive(self) -> dict[int, tuple[str, int, int, int]]:
+        """(status, attempts, changed, due) of the live jobs."""
+        return {job: tuple(entry) for job, *entry in zip(*(self.live.get() or ()))}
+
+    def _keep(self, alive: dict[int, tuple[str, int, int, int]]) -> None:
+        if alive:
+            self.live.update(_columns([(job, *entry) for job, entry in alive.items()]))
+        else:
+            self.live.clear()
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        if self.finished.exists():
+        events = defaultdict(list)  # a bucket's events of one micro-batch, which the files per trigger bound
+        for r in rows:
+            events[r["job_id"]].append((r["ts_us"], r["event_id"], r["event"]))
+        marks = (self.finished.get() or ([],))[0]
+        for job in events.keys() & set(marks):
+            del events[job]
+        if not events:
             return
-        status, attempts, changed, due = self.live.get() if self.live.exists() else ("WAITING", 0, 0, 0)
-        # a job's events of one micro-batch, which the files per trigger bound
-        for _, _, event, at in sorted((r["ts"], r["event_id"], r["event"], r["ts_us"]) for r in rows):
-            moved = _transition(status, attempts, event, self.max_attempts)
-            if moved is not None:
-                (status, attempts), changed = moved, int(at)
-        if due:
+        alive, ended = self._alive(), []
+        set_before = {due for *_, due in alive.values() if due}
+        for job, happened in events.items():
+            status, attempts, changed, _ = alive.pop(job, ("WAITING", 0, 0, 0))
+            for at, _, event in sorted(happened):
+                moved = _transition(status, attempts, event, self.max_attempts)
+                if moved is not None:
+                    (status, attempts), changed = moved, int(at)
+            if status in V.JOB_TERMINAL:
+                ended.append((job, status, attempts, changed))
+                yield self._row(job, "state", status, attempts, changed)
+                continue
+            wait_ms = self.backoff_ms * 2 ** max(0, attempts - 1) if status == "WAITING" and attempts else 0
+            alive[job] = status, attempts, changed, timerValues.getCurrentProcessingTimeInMs() + wait_ms if wait_ms else 0
+            yield self._row(job, "state", status, attempts, changed, wait_ms)
+        # jobs that are due at one time share a timer
+        set_now = {due for *_, due in alive.values() if due}
+        for due in set_before - set_now:
             self.handle.deleteTimer(due)
-        if status in V.JOB_TERMINAL:
-            self.live.clear()
-            (self.completed if status == "COMPLETED" else self.failed).update((status, attempts, changed))
-            self.finished.update((status,))
-            yield self._row(key, "state", status, attempts, changed)
-            return
-        wait_ms = self.backoff_ms * 2 ** max(0, attempts - 1) if status == "WAITING" and attempts else 0
-        due = timerValues.getCurrentProcessingTimeInMs() + wait_ms if wait_ms else 0
-        if due:
+        for due in set_now - set_before:
             self.handle.registerTimer(due)
-        self.live.update((status, attempts, changed, due))
-        yield self._row(key, "state", status, attempts, changed, wait_ms)
+        self._keep(alive)
+        for entries, kept in ((self.completed, [e for e in ended if e[1] == "COMPLETED"]), (self.failed, [e for e in ended if e[1] != "COMPLETED"])):
+            if kept:
+                entries.appendValue(_columns(kept))
+        if ended:
+            self.finished.update(([*marks, *(job for job, *_ in ended)],))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if not self.live.exists():
+        alive, at = self._alive(), expiredTimerInfo.getExpiryTimeInMs()
+        fired = [job for job, (status, _, _, due) in alive.items() if status == "WAITING" and due == at]
+        if not fired:
             return
-        status, attempts, changed, due = self.live.get()
-        if status == "WAITING" and due == expiredTimerInfo.getExpiryTimeInMs():
-            self.live.update((status, attempts, changed, 0))
-            yield self._row(key, "retry", status, attempts, changed)
+        for job in fired:
+            status, attempts, changed, _ = alive[job]
+            alive[job] = status, attempts, changed, 0
+            yield self._row(job, "retry", status, attempts, changed)
+        self._keep(alive)
 
     def close(self) -> None:
         pass
@@ -174,19 +236,21 @@ class JobMachine(StatefulProcessor):
 
 def job_state_stream(
     events: DataFrame, max_attempts: int = V.JOB_MAX_ATTEMPTS, backoff_ms: int = V.JOB_BACKOFF_MS,
-    completed_s: float = COMPLETED_KEPT_S, failed_s: float = FAILED_KEPT_S,
+    completed_s: float = COMPLETED_KEPT_S, failed_s: float = FAILED_KEPT_S, buckets: int = JOB_BUCKETS,
 ) -> DataFrame:
     """Changes of jobs, from a stream of (job_id, event_id, ts, event).
 
     A row of kind `state` is the state of a job after a batch that touched it. A row of kind `retry` is the job put to work again:
     a waiting job sets a timer of the clock for its delay, which doubles with every attempt, and is emitted when it fires.
     Every event counts, however late: no watermark drops it. The queue entry of a completed job is kept for an hour, that of a
-    failed one for a day, then it falls out of the state; a mark of one word stays, so a later start cannot revive the job.
+    failed one for a day, then it falls out of the state; its id stays as a mark, so a later start cannot revive the job.
+    Jobs are dealt into buckets by a hash of their id, and the state of a bucket is one entry of the state store.
     Needs the RocksDB state store and, because of the timers, `run_until`.
     """
-    timed = events.withColumn("ts_us", F.unix_micros("ts"))
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket")
+    timed = events.select(bucket, "job_id", "event_id", "event", F.unix_micros("ts").alias("ts_us"))
     machine = JobMachine(max_attempts, backoff_ms, int(completed_s * 1000), int(failed_s * 1000))
-    return timed.groupBy("job_id").transformWithState(
+    return timed.groupBy("bucket").transformWithState(
         statefulProcessor=machine, outputStructType=_CHANGE, outputMode="Update", timeMode="ProcessingTime")
 
 
@@ -203,16 +267,15 @@ def waiting(changes: DataFrame) -> DataFrame:
 def kept_entries(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, finished, kept) from the newest state: whether a job is marked finished, and whether it has a queue entry now."""
     def variable(name: str) -> DataFrame:
-        rows = spark.read.format("statestore").option("path", f"{root}/state").option("stateVarName", name).load()
-        return rows.select(F.col("key.job_id").alias("job_id"), "value")
+        return spark.read.format("statestore").option("path", f"{root}/state").option("stateVarName", name).load()
 
     def entries(name: str) -> DataFrame:
         # the store drops an expired value when it next cleans up; until then its time tells
-        fresh = F.col("value.ttlExpirationMs") > F.unix_millis(F.current_timestamp())
-        return variable(name).filter(fresh).select("job_id", F.lit(True).alias("kept"))
+        fresh = F.col("list_element.ttlExpirationMs") > F.unix_millis(F.current_timestamp())
+        return variable(name).filter(fresh).select(F.explode("list_element.value.job_id").alias("job_id"), F.lit(True).alias("kept"))
 
-    alive = variable("live").select("job_id", F.lit(True).alias("kept"), F.lit(False).alias("finished"))
-    marked = variable("finished").select("job_id", F.lit(True).alias("finished"))
+    alive = variable("live").select(F.explode("value.job_id").alias("job_id"), F.lit(True).alias("kept"), F.lit(False).alias("finished"))
+    marked = variable("finished").select(F.explode("value.job_id").alias("job_id"), F.lit(True).alias("finished"))
     ended = marked.join(entries("completed").unionByName(entries("failed")), "job_id", "left").select("job_id", F.coalesce("kept", F.lit(False)).alias("kept"), "finished")
     return alive.unionByName(ended)
 

@@ -6,6 +6,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from groundwell.plans import ingest
 from groundwell.sources.tables import shared_dir
 from groundwell.streaming import jobs as J
@@ -122,3 +124,53 @@ def test_the_first_batch_after_a_restart_does_not_make_a_query_idle():
 
     assert not J.idle(query(0)) and not J.idle(query(0, 2)) and not J.idle(query(2))
     assert J.idle(query(0, 2, 0)) and J.idle(query(2, 0)) and J.idle(query(0, 0))
+
+
+def test_a_stream_at_work_is_not_ended_and_one_without_work_is(spark):
+    root = shared_dir(spark, "limit-test")
+    rows = [(i, 2 * i + n, f"2024-01-01 10:00:0{n}", ("start", "retryable_failure")[n]) for i in range(8) for n in range(2)]
+    frame = spark.createDataFrame(rows, "job_id long, event_id long, ts string, event string").withColumn("ts", F.to_timestamp("ts"))
+    frame.repartitionByRange(8, "job_id").write.parquet(f"{root}/in")
+    stream = J.job_state_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), backoff_ms=100)
+
+    def emitted(query):
+        return J.idle(query) and J.waiting(spark.read.parquet(f"{root}/run/out")).isEmpty()
+
+    out = J.run_until(stream, f"{root}/run", emitted, limit_s=3)  # eight batches, begun a second apart at least
+    assert out.select("batch_id").distinct().count() >= 8
+    assert sorted(r["job_id"] for r in J.due_retries(out).collect()) == [*range(8)]
+    with pytest.raises(TimeoutError):
+        J.run_until(stream, f"{root}/other", lambda query: False, limit_s=3)
+
+
+def test_jobs_of_one_bucket_share_their_state_and_keep_apart(spark):
+    root, moves = shared_dir(spark, "bucket-test"), {0: ["start", "retryable_failure"], 1: ["start", "success"], 2: ["start", "terminal_failure"], 3: ["start"], 4: ["success"]}
+    first = [(job, 10 * job + n, f"2024-01-01 10:00:0{n}", event) for job in range(200) for n, event in enumerate(moves[job % 5])]
+
+    def emitted(query):
+        return J.idle(query) and J.waiting(spark.read.parquet(f"{root}/run/out")).isEmpty()
+
+    out, run_root = run(spark, [[*first, (None, 5000, "2024-01-01 10:00:00", "start")]], root, emitted, backoff_ms=300, buckets=8)
+    want = {job: [("WAITING", 1), ("COMPLETED", 1), ("FAILED", 1), ("ACTIVE", 1), ("WAITING", 0)][job % 5] for job in range(200)} | {None: ("ACTIVE", 1)}
+    assert {r["job_id"]: (r["status"], r["attempts"]) for r in J.latest(out, "job_id").collect()} == want
+    assert sorted(r["job_id"] for r in J.due_retries(out).collect()) == [*range(0, 200, 5)]
+    entries = spark.read.format("statestore").option("path", f"{run_root}/state").option("stateVarName", "live").load()
+    assert 1 <= entries.count() <= 8
+    second = [(job, 9000 + job, "2024-01-01 11:00:00", "start") for job in range(0, 200, 2)]
+    again, _ = run(spark, [second], root, backoff_ms=300, buckets=8)
+    touched = {job: ("ACTIVE", n + 1) if status in ("WAITING", "ACTIVE") else (status, n) for job, (status, n) in want.items() if job is not None and job % 2 == 0}
+    assert {r["job_id"]: (r["status"], r["attempts"]) for r in J.latest(again, "job_id").collect()} == want | touched
+    kept = {r["job_id"]: (r["kept"], r["finished"]) for r in J.kept_entries(spark, run_root).collect()}
+    assert kept == {job: (True, status in ("COMPLETED", "FAILED")) for job, (status, _) in (want | touched).items()}
+
+
+def test_a_query_stops_between_batches_and_goes_on_where_it_was(spark):
+    root = shared_dir(spark, "stop-test")
+    frame = spark.createDataFrame([(i, i, "2024-01-01 10:00:00", "start") for i in range(6)], "job_id long, event_id long, ts string, event string").withColumn("ts", F.to_timestamp("ts"))
+    frame.repartitionByRange(6, "job_id").write.parquet(f"{root}/in")
+    stream = J.job_state_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    first = J.run_until(stream, f"{root}/run", lambda query: len(query.recentProgress) == 1, every="0 seconds")
+    seen = first.count()
+    assert 1 <= seen < 6
+    out = J.run_until(stream, f"{root}/run", J.idle)
+    assert sorted(r["job_id"] for r in out.collect()) == [*range(6)]
